@@ -193,6 +193,7 @@ def near_pairs(places: DataFrame, radius_km: float) -> DataFrame:
     Places at one position are first merged, so a crowd at one spot costs one point; its pairs are made at the end,
     where they are the result. Nulls lie near nothing; an empty table gives no pair.
     """
+    places = reliable_checkpoint(places.select("id", "lat", "lon"))  # read five times below
     spots = places.groupBy("lat", "lon").agg(F.min("id").alias("spot"))
     centres = spots.select(F.col("spot").alias("region_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     hits = locate(centres.withColumnRenamed("region_id", "point_id"), disc_trapezoids(centres, radius_km))
