@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.session import join_dictionary
+
 # Month names in English and French, as written in the data's languages.
 MONTHS = {
     1: "jan january janv janvier",
@@ -114,7 +116,7 @@ def normalize_timestamps(df: DataFrame, text_col: str, zone_col: str | None = No
     df = df.select(*[F.col(f"`{c}`") for c in keep])
     if source_col:
         orders = day_month_order(df, text_col, source_col, default_order).withColumnRenamed(source_col, "__source")
-        df = df.join(orders, F.col(source_col).eqNullSafe(F.col("__source")), "left").drop("__source")
+        df = join_dictionary(df, orders, F.col(source_col).eqNullSafe(F.col("__source")), "left").drop("__source")
     else:
         df = df.withColumn("__order", F.lit(default_order))
     df = df.withColumn("__c", components(F.col(text_col)))
