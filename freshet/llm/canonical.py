@@ -195,7 +195,8 @@ def map_texts(texts: DataFrame, reference: DataFrame, kind: str, units: bool = F
             hits = [None if t is None else nearest(tree, t, units) for t in pdf["text"]]
             yield pd.DataFrame({"text": pdf["text"], "ref_id": [h[1] if h else 0 for h in hits], "distance": pd.array([h and h[0] for h in hits], "Int32"), "spelling": [h and h[2] for h in hits]})
 
-    return texts.select("text").mapInPandas(run, _OUT)
+    # Small in bytes but dear in CPU: spread over all cores instead of the few partitions that sizes suggest.
+    return texts.select("text").repartition(2 * texts.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, _OUT)
 
 
 def _map_sharded(texts: DataFrame, reference: DataFrame, kind: str, units: bool) -> DataFrame:
