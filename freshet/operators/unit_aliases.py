@@ -149,6 +149,8 @@ def alias_dictionary(df: DataFrame, text_col: str, inside: bool = False) -> Data
     molar or none; ``unit_text`` and ``cost`` are null where no known text is near enough (basis none).
     """
     texts = df.select(F.col(text_col).alias("spelling")).filter(F.col("spelling").isNotNull()).distinct()
+    # Small in bytes but dear in CPU: spread over all cores instead of the few partitions that sizes suggest.
+    texts = texts.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
     return texts.mapInPandas(_mapper(inside), "spelling string, unit_text string, basis string, factor double, cost double")
 
 
