@@ -177,6 +177,11 @@ def _entries(reference: DataFrame, kind: str) -> tuple[list[tuple[int, str, str
 _OUT = "text string, ref_id bigint, distance int, spelling string"
 
 
+def _frame(texts: pd.Series, hits: list[tuple[int, int, str] | None]) -> pd.DataFrame:
+    cols = {"text": texts.tolist(), "ref_id": [h[1] if h else 0 for h in hits], "distance": [h and h[0] for h in hits], "spelling": [h and h[2] for h in hits]}
+    return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in cols.items()})
+
+
 def map_texts(texts: DataFrame, reference: DataFrame, kind: str, units: bool = False) -> DataFrame:
     """``text, ref_id, distance, spelling`` for every row of ``texts`` (one column ``text``, distinct).
 
@@ -193,7 +198,7 @@ def map_texts(texts: DataFrame, reference: DataFrame, kind: str, units: bool = F
         tree = BKTree(items)
         for pdf in batches:
             hits = [None if t is None else nearest(tree, t, units) for t in pdf["text"]]
-            yield pd.DataFrame({"text": pdf["text"], "ref_id": [h[1] if h else 0 for h in hits], "distance": pd.array([h and h[0] for h in hits], "Int32"), "spelling": [h and h[2] for h in hits]})
+            yield _frame(pdf["text"], hits)
 
     # Small in bytes but dear in CPU: spread over all cores instead of the few partitions that sizes suggest.
     return texts.select("text").repartition(2 * texts.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, _OUT)
@@ -211,7 +216,7 @@ def _map_sharded(texts: DataFrame, reference: DataFrame, kind: str, units: bool)
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         tree = BKTree(spellings(list(zip(left["ref_id"], left["name"], left["aliases"])), kind))
         hits = [None if t is None else nearest(tree, t, units) for t in right["text"]]
-        return pd.DataFrame({"text": right["text"], "ref_id": [h[1] if h else 0 for h in hits], "distance": pd.array([h and h[0] for h in hits], "Int32"), "spelling": [h and h[2] for h in hits]})
+        return _frame(right["text"], hits)
 
     found = listed.groupBy("shard", "lot").cogroup(asked.groupBy("shard", "lot")).applyInPandas(run, _OUT)
     best = F.min_by(F.struct("ref_id", "distance", "spelling"), F.struct(F.coalesce("distance", F.lit(99)), F.col("ref_id"), F.col("spelling")))
