@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
-_JAVA = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
+# Spark reads no windows-1252, so such files are read byte for byte as ISO-8859-1 and the 27 differing characters replaced.
+_JAVA = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
+_CP1252 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 def _head(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
@@ -55,8 +57,12 @@ def read_text_table(spark: SparkSession, path: str, encoding: str | None = None,
         e, s = sniff(_head(spark, path))
         encoding, separator = encoding or e, separator or s
     mode = "DROPMALFORMED" if skip_bad else "PERMISSIVE"
-    df = spark.read.options(header=True, inferSchema=False, sep=separator, encoding=_JAVA.get(encoding, encoding), mode=mode, enforceSchema=False, multiLine=encoding not in ("utf-8", "utf-8-sig")).csv(path)
-    return df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
+    df = spark.read.options(header=True, inferSchema=False, sep=separator, encoding=_JAVA.get(encoding, encoding), mode=mode, enforceSchema=False).csv(path)
+    names = [c.replace("﻿", "").strip() for c in df.columns]
+    if encoding != "cp1252":
+        return df.toDF(*names)
+    old, new = "".join(_CP1252), "".join(_CP1252.values())
+    return df.select(*[F.translate(F.col(f"`{c}`"), old, new).alias(n.translate(str.maketrans(_CP1252))) for c, n in zip(df.columns, names)])
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
