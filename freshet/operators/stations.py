@@ -11,6 +11,8 @@ from freshet.operators.series import gather, middle, pair_slopes
 from freshet.session import reliable_checkpoint
 
 THRESHOLDS = [120.0, 230.0, 860.0]
+#: Points of a climate grid that are broadcast and searched as one array.
+MOST_GRID = 10_000
 
 
 def seasonal_means(df: DataFrame, min_obs: int = 8, ts: str = "ts", value: str = "value") -> DataFrame:
@@ -113,19 +115,28 @@ def grid_near_stations(grid: DataFrame, places: DataFrame, reach: float = 5.0) -
 def grid_interpolate(places: DataFrame, grid: DataFrame, values: list[str], step: float = 3.0) -> DataFrame:
     """Grid values at stations (``id, lat, lon``): bilinear where all four corners hold a value, else that of the nearest grid point with one.
 
-    The grid is a fixed lattice of a few hundred points, so it is broadcast by its proven size.
+    The grid is a fixed lattice of a few hundred points (more than ``MOST_GRID`` are refused), so it is broadcast, and the
+    nearest point is sought in one array of it. A place without a position gives nulls.
     """
-    origin = grid.agg(F.min("latitude").alias("lat0"), F.min("longitude").alias("lon0"))
-    p = places.crossJoin(F.broadcast(origin))  # one row on the right
-    p = p.withColumns({"iy": F.floor((F.col("lat") - F.col("lat0")) / step), "ix": F.floor((F.col("lon") - F.col("lon0")) / step)})
-    p = p.withColumns({"fy": (F.col("lat") - F.col("lat0")) / step - F.col("iy"), "fx": (F.col("lon") - F.col("lon0")) / step - F.col("ix")})
-    g = grid.crossJoin(F.broadcast(origin)).select(F.round((F.col("latitude") - F.col("lat0")) / step).cast("bigint").alias("gy"), F.round((F.col("longitude") - F.col("lon0")) / step).cast("bigint").alias("gx"), *values)
-    corners = F.explode(F.array(*[F.struct((F.col("iy") + a).alias("gy"), (F.col("ix") + b).alias("gx"), ((F.col("fy") if a else 1 - F.col("fy")) * (F.col("fx") if b else 1 - F.col("fx"))).alias("w")) for a in (0, 1) for b in (0, 1)]))
-    c = p.select("id", corners.alias("c")).select("id", "c.*").join(F.broadcast(g), ["gy", "gx"], "left")
-    linear = c.groupBy("id").agg(*[F.when(F.count(v) == 4, F.sum(F.col(v) * F.col("w"))).alias(v) for v in values])
-    far = places.join(F.broadcast(grid.select(F.col("latitude").alias("glat"), F.col("longitude").alias("glon"), *values)), F.lit(True)).withColumn("km", haversine_km("lat", "lon", "glat", "glon"))
-    nearest = far.groupBy("id").agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), F.struct("km", "glat", "glon"))).alias(f"near_{v}") for v in values])
-    return linear.join(nearest, "id").select("id", *[F.coalesce(v, f"near_{v}").alias(v) for v in values])
+    if grid.limit(MOST_GRID + 1).count() > MOST_GRID:
+        raise ValueError(f"more than {MOST_GRID} grid points")
+    lat0, lon0 = grid.agg(F.min("latitude")).scalar(), grid.agg(F.min("longitude")).scalar()
+    p = places.select("id", "lat", "lon", ((F.col("lat") - lat0) / step).alias("ty"), ((F.col("lon") - lon0) / step).alias("tx"))
+    p = p.withColumns({"iy": F.floor("ty"), "ix": F.floor("tx")}).withColumns({"fy": F.col("ty") - F.col("iy"), "fx": F.col("tx") - F.col("ix")})
+    g = grid.select(F.round((F.col("latitude") - lat0) / step).cast("bigint").alias("gy"), F.round((F.col("longitude") - lon0) / step).cast("bigint").alias("gx"), *values)
+    side = lambda f, k: F.col(f) if k else 1 - F.col(f)
+    corners = F.explode(F.array(*[F.struct((F.col("iy") + a).alias("gy"), (F.col("ix") + b).alias("gx"), (side("fy", a) * side("fx", b)).alias("w")) for a in (0, 1) for b in (0, 1)]))
+    c = p.select("id", "lat", "lon", corners.alias("c")).select("id", "lat", "lon", "c.*").join(F.broadcast(g), ["gy", "gx"], "left")
+    linear = c.groupBy("id", "lat", "lon").agg(*[F.when(F.count(v) == 4, F.sum(F.col(v) * F.col("w"))).alias(v) for v in values])
+    # One row with the whole grid as an array, attached to every place by a constant key.
+    points = grid.agg(F.collect_list(F.struct("latitude", "longitude", *values)).alias("points")).withColumn("one", F.lit(1))
+    linear = linear.withColumn("one", F.lit(1)).join(F.broadcast(points), "one", "left")
+
+    def nearest(v: str):
+        ranked = F.transform(F.filter("points", lambda q: q[v].isNotNull()), lambda q: F.struct(haversine_km(F.col("lat"), F.col("lon"), q["latitude"], q["longitude"]).alias("km"), q["latitude"], q["longitude"], q[v].alias("v")))
+        return F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.array_min(ranked)["v"])
+
+    return linear.select("id", *[F.coalesce(F.col(v), nearest(v)).alias(v) for v in values])
 
 
 def proximity_clusters(places: DataFrame, threshold_km: float = 1.0, most_rounds: int = 40) -> DataFrame:

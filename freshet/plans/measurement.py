@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import scalars as S
@@ -204,12 +204,6 @@ def feature_table(spark, d):
     return series.features(annual(spark, d)).select("station_id", "ion", "year", "years_seen", *[R(c, 5).alias(c) for c in _FCOLS])
 
 
-@query(f"""{WITH}, {_FEATURES} SELECT station_id, ion, year, round(avg(lag1) OVER (ORDER BY station_id, ion, year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 5) AS roll3,
- round(avg(lag1) OVER (ORDER BY station_id, ion, year ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 5) AS roll5 FROM feat""")
-def feature_roll_compat(spark, d):
-    return series.features(annual(spark, d), compat=True).select("station_id", "ion", "year", R("roll3", 5).alias("roll3"), R("roll5", 5).alias("roll5"))
-
-
 @query(f"""{WITH}, {_FEATURES}, s AS (SELECT *, CASE WHEN year <= 2013 THEN 'train' WHEN year <= 2017 THEN 'valid' ELSE 'test' END AS split FROM feat WHERE lag1 IS NOT NULL)
 SELECT split, ion, count(*) AS n, round(avg(abs(log_value - lag1)), 6) AS mae, round(sqrt(avg(pow(log_value - lag1, 2))), 6) AS rmse,
  round(1 - sum(pow(log_value - lag1, 2)) / (sum(log_value * log_value) - sum(log_value) * sum(log_value) / count(*)), 4) AS r2,
@@ -326,7 +320,8 @@ SELECT count(*) AS n, round(median(ws_ratio), 6) AS median_all, round(median(ws_
 def seasonality_summary(spark, d):
     cov = nan_to_null(table(spark, d, "station_covariates")).select(F.col("station_id").alias("cid"), "night_lights_5km")
     j = _ws(spark, d).join(places(spark, d), F.col("station_id") == F.col("id")).join(cov, F.col("station_id") == F.col("cid"), "left")
-    j = j.crossJoin(F.broadcast(j.agg(F.median("night_lights_5km").alias("mid"))))  # one row
+    mid = j.agg(F.median("night_lights_5km")).scalar()
+    j = j.withColumn("mid", mid)
     med = lambda c: R(F.median(F.when(c, F.col("ws_ratio"))))
     return j.agg(
         F.count("*").alias("n"), R(F.median("ws_ratio")).alias("median_all"), med(F.col("lat") >= 40).alias("median_cold"), med(F.col("lat") < 40).alias("median_warm"),
@@ -520,6 +515,54 @@ def regimes(spark, d):
     return out.groupBy(label[F.col("cluster")].alias("regime")).agg(F.count("*").alias("n"), *[R(F.median(c)).alias(c) for c in ("na_cl", "ca_mg", "slope_cl", "slope_so4")])
 
 
+@query()
+def baseline_temporal(spark, d):
+    """Boosted trees on the annual features, fitted up to 2013, against persistence, by split."""
+    f = series.temporal_split(series.features(annual(spark, d)))
+    names = ["lag1", "lag2", "lag3", "roll3", "roll5", "trail_slope", "years_seen", "year_c"]
+    x = models.assemble(f.withColumn("year_c", F.col("year")), names).cache()
+    out = models.gbt("log_value", 10).fit(x.filter("split = 'train'")).transform(x)
+    model = series.error_measures(out, "log_value", "guess", ["split"]).withColumn("model", F.lit("trees"))
+    return model.unionByName(series.error_measures(x, "log_value", "lag1", ["split"]).withColumn("model", F.lit("persistence")))
+
+
+@query()
+def climate_response(spark, d):
+    """Median climate factor by scenario and ion: the level model asked again with shifted climate."""
+    deltas = nan_to_null(table(spark, d, "cmip6_deltas"))
+    cov = nan_to_null(table(spark, d, "station_covariates"))
+    names = [c for c in cov.columns if c != "station_id"]
+    t = trends(spark, d).withColumn("log_level", F.log1p("base_level")).select("station_id", "ion", "base_level", "log_level").cache()
+    base = models.assemble(t.join(cov, "station_id"), names)
+    model = models.gbt("log_level", 10).fit(base)
+    before = model.transform(base).select("station_id", "ion", F.col("guess").alias("g0"))
+    parts = []
+    for s in ("ssp245", "ssp585"):
+        x = models.assemble(t.join(stations.climate_shift(cov, deltas, s), "station_id"), names)
+        after = model.transform(x).select("station_id", "ion", F.col("guess").alias("g1"))
+        parts.append(before.join(after, ["station_id", "ion"]).select("ion", F.lit(s).alias("scenario"), F.exp(F.col("g1") - F.col("g0")).alias("factor")))
+    return parts[0].unionByName(parts[1]).rollup("scenario", "ion").agg(F.median("factor").alias("median_factor"), F.count("*").alias("n")).filter("scenario is not null")
+
+
+@query("SELECT y::INT AS first_year, least(y + 8, 2025)::INT AS last_year FROM range(1990, 2026, 9) AS t(y)")
+def year_windows(spark, d):
+    """Request windows of nine years."""
+    return spark.range(1990, 2026, 9).select(F.col("id").cast("int").alias("first_year"), F.least(F.col("id") + 8, F.lit(2025)).cast("int").alias("last_year"))
+
+
+@query(f"{WITH}, {_TREND} SELECT station_id, {', '.join(f'max((ion = {k!r})::INT)::INT AS ion_{k}' for k in _IONS)} FROM tr GROUP BY station_id")
+def ion_one_hot(spark, d):
+    """Which ions a station has, as 0/1 columns."""
+    return trends(spark, d).groupBy("station_id").agg(*[F.max(F.when(F.col("ion") == k, 1).otherwise(0)).alias(f"ion_{k}") for k in _IONS])
+
+
+@query("SELECT station_id FROM (SELECT station_id, row_number() OVER (ORDER BY station_id) AS k FROM (SELECT DISTINCT station_id FROM cmip6_deltas)) WHERE (k - 1) % 7 = 0")
+def stride_sample(spark, d):
+    """Every seventh station in order of id (a sampling operator)."""
+    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("station_id"))  # a station list, distinct ids only
+    return table(spark, d, "cmip6_deltas").select("station_id").distinct().withColumn("k", k - 1).filter("k % 7 = 0").select("station_id")
+
+
 # ---- report data ---------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,7 @@ def read_text_table(spark: SparkSession, path: str, encoding: str | None = None,
         e, s = sniff(_head(spark, path))
         encoding, separator = encoding or e, separator or s
     mode = "DROPMALFORMED" if skip_bad else "PERMISSIVE"
-    df = spark.read.options(header=True, inferSchema=False, sep=separator, encoding=_JAVA.get(encoding, encoding), mode=mode, enforceSchema=False).csv(path)
+    df = spark.read.options(header=True, inferSchema=False, sep=separator, encoding=_JAVA.get(encoding, encoding), mode=mode, enforceSchema=False, columnPruning=not skip_bad).csv(path)
     names = [c.replace("﻿", "").strip() for c in df.columns]
     if encoding != "cp1252":
         return df.toDF(*names)
@@ -119,13 +120,10 @@ def write_records_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def summary_document(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:
-    """One row with a JSON text per part; each part is a small summary of at most 10,000 rows."""
-    out = None
-    for name, df in parts.items():
-        row = df.limit(10_000).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias(name))
-        out = row if out is None else out.crossJoin(row)
-    return out
+def summary_document(parts: dict[str, DataFrame]) -> DataFrame:
+    """``part, document``: a JSON text per part; each part is a small summary of at most 10,000 rows."""
+    rows = [df.limit(10_000).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("document")).select(F.lit(name).alias("part"), "document") for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def sample_rows(df: DataFrame, order: list[str], n: int = 2000) -> DataFrame:
