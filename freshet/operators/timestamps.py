@@ -58,13 +58,17 @@ def pattern() -> str:
 
 def _replacement() -> str:
     have = [{p for p in PARTS if f"?<{p}@>" in b} for b in BRANCHES]
-    return _MARK + "|".join("".join("${" + p + chr(97 + i) + "}" for i, h in enumerate(have) if p in h) for p in PARTS)
+    return _MARK + _MARK.join("".join("${" + p + chr(97 + i) + "}" for i, h in enumerate(have) if p in h) for p in PARTS)
 
 
 def components(text: Column) -> Column:
-    """Array of the components in the order of PARTS (empty where a form lacks one); null where no form matches."""
-    out = F.regexp_replace(text, F.lit(pattern()), F.lit(_replacement()))
-    return F.when(F.substring(out, 1, 1) == _MARK, F.split(F.substring(out, 2, 200), r"\|", -1))
+    """Array that holds, after an empty first element, the components in the order of PARTS (empty where a form lacks one).
+
+    Where no form matches the first element is the text itself, or the array has another size.
+    """
+    # The mark, if any, comes first; what does not match keeps its text and splits into fewer parts.
+    parts = F.split(F.regexp_replace(text, F.lit(pattern()), F.lit(_replacement())), _MARK, len(PARTS) + 2)
+    return parts
 
 
 def day_month_order(df: DataFrame, text_col: str, source_col: str, default: str = "mdy") -> DataFrame:
@@ -120,8 +124,8 @@ def normalize_timestamps(df: DataFrame, text_col: str, zone_col: str | None = No
     else:
         df = df.withColumn("__order", F.lit(default_order))
     df = df.withColumn("__c", components(F.col(text_col)))
-    part = lambda p: F.col("__c")[PARTS.index(p)]
-    num = lambda p: F.when(part(p) != "", part(p).cast("int"))
+    part = lambda p: F.get("__c", F.lit(PARTS.index(p) + 1))
+    num = lambda p: F.when(part(p) != "", part(p).try_cast("int"))
     df = df.withColumn("__dmy", F.coalesce(F.col("__order") == "dmy", F.lit(default_order == "dmy")))
     y = num("year")
     df = df.select(
@@ -134,8 +138,8 @@ def normalize_timestamps(df: DataFrame, text_col: str, zone_col: str | None = No
         F.coalesce(num("sec"), F.lit(0)).alias("__s"),
         F.lower(part("half")).alias("__half"),
         part("zone").alias("__z"),
-        F.when(part("epoch") != "", F.when(F.length(part("epoch")) >= 12, F.expr(f"cast(__c[{PARTS.index('epoch')}] as bigint) div 1000")).otherwise(part("epoch").cast("bigint"))).alias("__epoch"),
-        F.col("__c").isNotNull().alias("__read"),
+        F.when(part("epoch") != "", F.when(F.length(part("epoch")) >= 12, F.expr(f"try_cast(__c[{PARTS.index('epoch') + 1}] as bigint) div 1000")).otherwise(part("epoch").try_cast("bigint"))).alias("__epoch"),
+        ((F.size("__c") == len(PARTS) + 1) & (F.get("__c", F.lit(0)) == "")).alias("__read"),
     )
     leap = "(__y % 4 = 0 and (__y % 100 <> 0 or __y % 400 = 0))"
     long = f"case when __m in (4, 6, 9, 11) then 30 when __m = 2 then if({leap}, 29, 28) else 31 end"
@@ -192,8 +196,10 @@ def found(df: DataFrame, zones: DataFrame, key: str = "rec_id") -> DataFrame:
 
     ``zones`` maps ``state_prov`` to an IANA zone. A status other than ok stands in place of the instant.
     """
-    rows = df.select(key, "datetime", "source", "state_prov").filter(F.col("datetime").isNotNull())
+    # Whether a stamp is a case at all is told by its form and a native cast; the cases alone go through the operator.
+    # The order of day and month needs no other rows: all-numeric dates are cases.
+    plain = F.col("datetime").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$") & F.col("datetime").try_cast("timestamp").isNotNull()
+    rows = df.select(key, "datetime", "source", "state_prov").filter(F.col("datetime").isNotNull() & ~plain)
     rows = rows.join(zones.select("state_prov", F.col("zone").alias("__home")), "state_prov", "left")
     done = normalize_timestamps(rows, "datetime", "__home", "source")
-    plain = F.col("datetime").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$") & (F.col("utc_status") == "ok")
-    return done.filter(~plain).select(key, F.when(F.col("utc_status") == "ok", instant_text("utc_seconds")).otherwise(F.col("utc_status")).alias("utc"))
+    return done.select(key, F.when(F.col("utc_status") == "ok", instant_text("utc_seconds")).otherwise(F.col("utc_status")).alias("utc"))
