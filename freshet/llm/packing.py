@@ -71,36 +71,33 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
 
 
 def _pack(capacity: int, most_open: int, label: str):
-    """First round over ``key, size``: one row per part with its container, and whether the container stayed open."""
+    """First round over ``key, size``: a row per part with its container, and at the end a row per container still open.
+
+    The latter bear what the container holds in ``still_open`` and no part. Nothing but the open containers is kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = TaskContext.get().partitionId()
         packer = Packer(capacity, most_open)
-        held: list[tuple] = []
+        kind = None
         for b in batches:
-            for key, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, part in enumerate(parts_of(size, capacity)):
-                    held.append((key, k, part, packer.add(part)))
-            # Rows of closed containers leave; those of the open ones wait, at most most_open * capacity tokens of them.
-            out = [r for r in held if r[3] in packer.closed]
-            if out:
-                held = [r for r in held if r[3] not in packer.closed]
-                packer.closed.clear()
-                yield _rows(out, where, True, b.schema.field(0).type, label)
             kind = b.schema.field(0).type
-        if held:
-            out = [r for r in held if r[3] in packer.closed]
-            yield from (_rows(part, where, full, kind, label) for part, full in ((out, True), ([r for r in held if r[3] not in packer.closed], False)) if part)
+            rows = [(key, k, part, f"{label}{where}-{packer.add(part)}") for key, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, part in enumerate(parts_of(size, capacity))]
+            packer.closed.clear()
+            if rows:
+                yield _rows(*zip(*rows), [None] * len(rows), where, kind)
+        if packer.open:
+            n = len(packer.open)
+            yield _rows([None] * n, [None] * n, [None] * n, [f"{label}{where}-{x}" for _, x in packer.open], [h for h, _ in packer.open], where, kind)
 
     return run
 
 
-def _rows(rows: list[tuple], where: int, full: bool, kind: pa.DataType, label: str) -> pa.RecordBatch:
-    key, part, size, number = zip(*rows)
-    ids = [f"{label}{where}-{n}" for n in number]
+def _rows(key, part, size, container, still_open, where: int, kind: pa.DataType) -> pa.RecordBatch:
+    n = len(container)
     return pa.RecordBatch.from_arrays(
-        [pa.array(key, kind), pa.array(part, pa.int32()), pa.array(size, pa.int64()), pa.array(ids), pa.array([full] * len(rows)), pa.array([where] * len(rows), pa.int32())],
-        ["key", "part", "size", "container", "closed", "lot"],
+        [pa.array(key, kind), pa.array(part, pa.int32()), pa.array(size, pa.int64()), pa.array(container, pa.string()), pa.array(still_open, pa.int64()), pa.array([where] * n, pa.int32())],
+        ["key", "part", "size", "container", "still_open", "lot"],
     )
 
 
@@ -124,20 +121,20 @@ def _merge(capacity: int, most_open: int, label: str):
 def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, most_open: int = OPEN, fan: int = FAN) -> DataFrame:
     """``key, part, size, container``: every item once, or, beyond the capacity, in parts of the capacity and a rest.
 
-    No container exceeds the capacity. Items of size 0 take no room but get a container. Null sizes are left out; an
+    No container exceeds the capacity. Items of size 0 take no room but get a container. Null and negative sizes are left out; an
     empty table gives an empty one. Repeated keys are separate items. The assignment is written once (reliable
     checkpoint), so the numbers hold when tasks are run again.
     """
     if capacity < 1:
         raise ValueError("capacity is at least 1")
     key_type = items.schema[key].dataType.simpleString()
-    rows = items.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size")).filter(F.col("size").isNotNull())
-    first = reliable_checkpoint(rows.mapInArrow(_pack(capacity, most_open, "a"), f"key {key_type}, part int, size bigint, container string, closed boolean, lot int"))
-    left = first.filter(~F.col("closed")).groupBy("container", "lot").agg(F.sum("size").alias("size"))
+    rows = items.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size")).filter(F.col("size") >= 0)
+    first = reliable_checkpoint(rows.mapInArrow(_pack(capacity, most_open, "a"), f"key {key_type}, part int, size bigint, container string, still_open bigint, lot int"))
+    left = first.filter(F.col("still_open").isNotNull()).select("container", "lot", F.col("still_open").alias("size"))
     lots = first.rdd.getNumPartitions()
     moves: list[DataFrame] = []
     for level in range(1, 20):
-        groups = -(-lots // fan)
+        groups = max(1, -(-lots // fan))
         ask = left.withColumn("to", F.floor(F.col("lot") / fan).cast("int")).repartition(groups, "to") if groups > 1 else left.coalesce(1)
         ask = ask.sortWithinPartitions(F.desc("size"), "container").select("container", "size")
         moved = reliable_checkpoint(ask.mapInArrow(_merge(capacity, most_open * fan if groups == 1 else most_open, chr(97 + level)), "container string, size bigint, into string, lot int"))
@@ -149,7 +146,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, most_o
     for m in moves[1:]:
         nxt = m.select(F.col("container").alias("into"), F.col("into").alias("further"))
         final = final.join(nxt, "into", "left").select("container", F.coalesce("further", "into").alias("into"))
-    out = join_dictionary(first, final, ["container"], "left")
+    out = join_dictionary(first.filter(F.col("still_open").isNull()), final, ["container"], "left")
     return out.select(F.col("key").alias(key), "part", "size", F.coalesce("into", "container").alias("container"))
 
 
