@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a dictionary is broadcast; beyond it the join is left to a shuffled plan with AQE skew handling.
 BROADCAST_ROWS = 200_000
+#: The same in bytes, for dictionaries of long texts.
+BROADCAST_BYTES = 48_000_000
 
 
 def build_session(app: str = "freshet", cores: int | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -44,13 +46,17 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_dictionary(rows: DataFrame, dictionary: DataFrame, on: Column | list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_dictionary(rows: DataFrame, dictionary: DataFrame, on: Column | list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join ``rows`` with a computed dictionary whose size is known only at run time.
 
-    The dictionary is materialised once (reliable checkpoint) and counted. Up to ``max_rows`` it is broadcast, so
-    ``rows`` is not shuffled; above it a shuffled join runs, where AQE splits skewed keys.
+    The dictionary is materialised once (reliable checkpoint) and measured. Up to ``max_rows`` and ``max_bytes`` (texts
+    at their length, other columns at 16 bytes) it is broadcast, so ``rows`` is not shuffled; above either a shuffled
+    join runs, where AQE splits skewed keys.
     """
     dictionary = reliable_checkpoint(dictionary)
-    if dictionary.count() <= max_rows:
+    texts = [f.name for f in dictionary.schema if f.dataType.typeName() == "string"]
+    length = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts), F.lit(16 * len(dictionary.columns)).cast("bigint"))
+    n, size = dictionary.agg(F.count("*"), F.sum(length)).first()
+    if n <= max_rows and (size or 0) <= max_bytes:
         dictionary = F.broadcast(dictionary)
     return rows.join(dictionary, on, how)
