@@ -57,13 +57,18 @@ def ion_ratios(wide: DataFrame) -> DataFrame:
     return wide.select("station_id", safe_ratio("na", "cl").alias("na_cl"), safe_ratio("ca", "mg").alias("ca_mg"), safe_ratio("cl", "so4").alias("cl_so4"), safe_ratio("cl", "alk").alias("cl_alk"), F.col("cl").alias("cl_level"))
 
 
-def typology_features(levels: DataFrame, slopes: DataFrame, least: int = 4) -> DataFrame:
-    """Clustering features of stations with at least ``least`` of the five ions (alkalinity apart): log levels, clipped ratios, slopes of cl and so4."""
+# Landscape covariates that enter the regimes.
+LANDSCAPE = ("lc_tree_5km", "night_lights_5km", "aridity", "soil_ph", "temp_c")
+
+
+def typology_features(levels: DataFrame, slopes: DataFrame, covariates: DataFrame, least: int = 4) -> DataFrame:
+    """Clustering features of stations with at least ``least`` of the five ions (alkalinity apart): log levels, clipped ratios, slopes of cl and so4, landscape."""
     five = [k for k in ION_KEYS if k != "alk"]
     have = sum((F.when(F.col(k).isNotNull(), 1).otherwise(0) for k in five), F.lit(0))
     core = levels.filter(have >= least)
-    out = core.select("station_id", *[F.log1p(k).alias(f"log_{k}") for k in five], bounded_ratio("na", "cl", 0.0, 3.0).alias("na_cl"), bounded_ratio("ca", "mg", 0.0, 10.0).alias("ca_mg"))
-    return out.join(slopes.select("station_id", F.col("slope_cl"), F.col("slope_so4")), "station_id", "left")
+    out = core.select("station_id", *[F.log1p(k).alias(f"log_{k}") for k in five], bounded_ratio("na", "cl", 0.0, 3.0).alias("na_cl"), bounded_ratio("ca", "mg", 0.0, 8.0).alias("ca_mg"))
+    land = covariates.select("station_id", *[c for c in LANDSCAPE if c in covariates.columns])
+    return out.join(slopes.select("station_id", "slope_cl", "slope_so4"), "station_id", "left").join(land, "station_id", "left")
 
 
 def trend_projection(trends: DataFrame, target_year: int = 2050) -> DataFrame:

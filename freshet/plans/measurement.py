@@ -501,20 +501,30 @@ def level_drivers(spark, d):
     return models.mean_abs_shap(model, df, names).join(F.broadcast(gain), "feature").orderBy(F.desc("mean_abs_shap"), "feature").limit(15)
 
 
+def _typology(spark, d) -> tuple[DataFrame, list[str]]:
+    t = trends(spark, d)
+    f = stations.typology_features(stations.ion_wide(t, "base_level"), stations.ion_wide(t, "slope_log_yr", "slope_"), nan_to_null(table(spark, d, "station_covariates")))
+    return f, [c for c in f.columns if c != "station_id"]
+
+
 @query()
 def regimes(spark, d):
-    """Stations in five named regimes from log levels, ratios and slopes."""
-    t = trends(spark, d)
-    slopes = stations.ion_wide(t, "slope_log_yr", "slope_")
-    f = stations.typology_features(stations.ion_wide(t, "base_level"), slopes)
-    cols = [c for c in f.columns if c != "station_id"]
+    """Stations in five named regimes from log levels, ratios, slopes and landscape."""
+    f, cols = _typology(spark, d)
     out, _ = models.kmeans_typology(f, cols)
-    centres = out.groupBy("cluster").agg(*[F.median(c).alias(c) for c in cols]).toPandas().set_index("cluster").sort_index()
-    names = models.name_regimes(centres, cols)
-    label = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    centres = out.groupBy("cluster").agg(*[F.median(c).alias(c) for c in cols]).toPandas().set_index("cluster").sort_index()  # five rows
+    label = F.create_map(*[x for k, v in models.name_regimes(centres, cols).items() for x in (F.lit(k), F.lit(v))])
     return out.groupBy(label[F.col("cluster")].alias("regime")).agg(F.count("*").alias("n"), *[R(F.median(c)).alias(c) for c in ("na_cl", "ca_mg", "slope_cl", "slope_so4")])
 
 
+@query()
+def regime_scan(spark, d):
+    """Silhouette for three to six clusters."""
+    f, cols = _typology(spark, d)
+    f = f.cache()
+    return spark.createDataFrame([(k, models.kmeans_typology(f, cols, k, 1)[1]) for k in range(3, 7)], "k int, silhouette double")
+
+
 @query()
 def baseline_temporal(spark, d):
     """Boosted trees on the annual features, fitted up to 2013, against persistence, by split."""
