@@ -183,6 +183,11 @@ def normalize_timestamps(df: DataFrame, text_col: str, zone_col: str | None = No
     return df.select(*keep, F.when(F.col("__r.t") == "ok", F.col("__r.s")).alias(f"{out}_seconds"), F.col("__r.t").alias(f"{out}_status"))
 
 
+def instant(seconds: str) -> Column:
+    """Timestamp without zone, in UTC, of a column of UTC seconds, whatever the session's zone."""
+    return F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds})")
+
+
 def instant_text(seconds: str) -> Column:
     """``YYYY-MM-DDTHH:MM:SSZ`` of a column of UTC seconds, whatever the session's zone."""
     two = lambda x: f"substr(cast(100 + {x} as string), 2, 2)"

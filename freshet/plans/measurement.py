@@ -1,7 +1,7 @@
 """Queries of the measurement pipeline over whole tables, each with its SQL counterpart where SQL can say it.
 
-``obs`` is the common base: readings of a target ion with a positive number, a station, and a stamp in the full UTC form
-``YYYY-MM-DDTHH:MM:SSZ`` (both engines read exactly that form, so the two sides agree by construction).
+``obs`` is the common base: readings of a target ion with a positive number, a station, and a stamp in any written form that
+fits one instant. The SQL reads the form ``YYYY-MM-DDTHH:MM:SSZ`` alone, so it covers a part of the rows (see README).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import scalars as S
-from freshet.operators import harmonize, models, proximity, series, stations
+from freshet.operators import harmonize, models, proximity, series, stations, timestamps
 from freshet.sources.tables import nan_to_null, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,9 +41,18 @@ obs AS (SELECT rec_id, source, station_id, latitude, longitude, country, state_p
 ann AS (SELECT station_id, ion, year, avg(value) AS value, count(*) AS n_obs_year FROM obs GROUP BY ALL)"""
 
 
+def long_record(spark: SparkSession, d: str) -> DataFrame:
+    return nan_to_null(table(spark, d, "harmonize"))
+
+
 def stamped(spark: SparkSession, d: str) -> DataFrame:
-    h = nan_to_null(table(spark, d, "harmonize"))
-    return h.withColumn("ts", F.when(F.col("datetime").rlike(ISO), S.parse_datetime("datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    """The long record with ``ts``, the UTC instant of its stamp; null where the text fits no instant or two."""
+    h = long_record(spark, d).withColumn("ts", F.when(F.col("datetime").rlike(ISO), S.parse_datetime("datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    # Plain stamps pass by; the order of day and month needs no other rows, since all-numeric dates are not plain.
+    zones = table(spark, d, "zone_ref").select("state_prov", F.col("zone").alias("__home"))
+    other = h.filter(F.col("ts").isNull()).drop("ts").join(zones, "state_prov", "left")
+    other = timestamps.normalize_timestamps(other, "datetime", "__home", "source").withColumn("ts", timestamps.instant("utc_seconds"))
+    return h.filter(F.col("ts").isNotNull()).unionByName(other.select(*h.columns))
 
 
 def obs(spark: SparkSession, d: str) -> DataFrame:
@@ -119,12 +128,12 @@ _UNITS = f"x AS (SELECT h.*, {_UNIT} AS u FROM h), y AS (SELECT x.*, {_FACTOR} A
 
 @query(f"{WITH}, {_UNITS} SELECT ion, count(*) AS n, round(min(value_source * f), 6) AS least, round(max(value_source * f), 6) AS most FROM y WHERE f IS NOT NULL AND value_source IS NOT NULL GROUP BY ion")
 def unit_harmonize(spark, d):
-    return harmonize.harmonize_units(stamped(spark, d)).groupBy("ion").agg(F.count("*").alias("n"), R(F.min("value_mg_L")).alias("least"), R(F.max("value_mg_L")).alias("most"))
+    return harmonize.harmonize_units(long_record(spark, d)).groupBy("ion").agg(F.count("*").alias("n"), R(F.min("value_mg_L")).alias("least"), R(F.max("value_mg_L")).alias("most"))
 
 
 @query(f"{WITH}, {_UNITS} SELECT u AS unit, sum((f IS NULL)::INT)::BIGINT AS n_unsupported, sum((value_source IS NULL)::INT)::BIGINT AS n_no_number FROM y WHERE f IS NULL OR value_source IS NULL GROUP BY u")
 def unit_audit(spark, d):
-    return harmonize.unit_audit(stamped(spark, d))
+    return harmonize.unit_audit(long_record(spark, d))
 
 
 _BELOW = "(coalesce(trim(below_flag), '') IN ('<', 'ND', 'BDL', 'U', '<=') OR (value_mg_L IS NULL AND detection_limit IS NOT NULL))"
@@ -136,7 +145,7 @@ def _censor(name: str, new: str):
     @query(f"""{WITH}, b AS (SELECT ion, {_BELOW} AS below, CASE WHEN {_BELOW} THEN {new} ELSE value_mg_L END AS v FROM h {keep})
 SELECT ion, below, count(*) AS n, count(v) AS n_value, round(sum(v), 4) AS total FROM b GROUP BY ion, below""")
     def censor(spark, d):
-        c = harmonize.handle_below_detection(stamped(spark, d), name)
+        c = harmonize.handle_below_detection(long_record(spark, d), name)
         return c.groupBy("ion", F.col("below_detection").alias("below")).agg(F.count("*").alias("n"), F.count("value_mg_L").alias("n_value"), R(F.sum("value_mg_L"), 4).alias("total"))
 
     QUERIES[f"censor_{name}"], SQL[f"censor_{name}"] = QUERIES.pop("censor"), SQL.pop("censor")
