@@ -171,6 +171,22 @@ def to_micrograms(df: DataFrame, ions: DataFrame, key: str, value_col: str, unit
     return both.select(key, (F.col("v") * F.col("factor") * scale).alias("value_ug"), F.coalesce("basis", F.lit("none")).alias("basis"), "unit_text")
 
 
+def fill_milligrams(df: DataFrame, ions: DataFrame, value_col: str = "value_source", unit_col: str = "unit_source", text_col: str = "characteristic_source", ion_col: str = "ion", out: str = "value_mg_L") -> DataFrame:
+    """``df`` with each null ``out`` filled with ``value_col`` in mg/L, by the unit rules of ``to_micrograms``.
+
+    A value without a known concentration unit stays null; values that are there stay as they are. NaN counts as a value.
+    """
+    spelling = F.coalesce(F.col(unit_col), F.col(text_col))
+    rows = df.withColumn("__spelling", F.when(F.col(out).isNull() & F.col(value_col).isNotNull(), spelling)).withColumn("__inside", F.col(unit_col).isNull())
+    parts = [alias_dictionary(rows.filter(F.col("__inside") == inside), "__spelling", inside).withColumn("__inside", F.lit(inside)) for inside in (False, True)]
+    units = parts[0].unionByName(parts[1]).select(F.col("spelling").alias("__spelling"), "__inside", F.col("basis").alias("__basis"), F.col("factor").alias("__factor"))
+    weights = ions.select(F.col("ion").alias("__ion"), F.col("molar_mass").alias("__molar"), F.col("equiv_weight").alias("__equiv"))
+    rows = join_dictionary(rows, units, ["__spelling", "__inside"], "left").join(weights, F.col(ion_col) == F.col("__ion"), "left")
+    scale = F.when(F.col("__basis").isin("mg/L", "mass"), F.lit(1.0)).when(F.col("__basis") == "charge", F.col("__equiv")).when(F.col("__basis") == "molar", F.col("__molar"))
+    filled = F.coalesce(F.col(out), F.col(value_col) * (F.col("__factor") / 1000 * scale))
+    return rows.select(*[filled.alias(c) if c == out else F.col(f"`{c}`") for c in df.columns])
+
+
 def found(df: DataFrame, ions: DataFrame, key: str = "rec_id") -> DataFrame:
     """``rec_id, value_ug`` of the non-null values whose unit is not mg/L in any spelling, rounded to whole ug/L; -1 where it is no concentration."""
     some = df.filter(F.col("value_source").isNotNull() & ~F.isnan("value_source"))

@@ -1,7 +1,8 @@
 """Queries of the measurement pipeline over whole tables, each with its SQL counterpart where SQL can say it.
 
-``obs`` is the common base: readings of a target ion with a positive number, a station, and a stamp in any written form that
-fits one instant. The SQL reads the form ``YYYY-MM-DDTHH:MM:SSZ`` alone, so it covers a part of the rows (see README).
+``obs`` is the common base: readings of a target ion with a positive number, reported in mg/L or converted, a station, and a
+stamp in any written form that fits one instant, each reading once. The SQL reads the form ``YYYY-MM-DDTHH:MM:SSZ`` and
+``value_mg_L`` alone, with all copies, so it covers a part of the rows (see README).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import scalars as S
-from freshet.operators import harmonize, models, proximity, series, stations, timestamps
+from freshet.operators import harmonize, models, proximity, series, stations, timestamps, unit_aliases
 from freshet.sources.tables import nan_to_null, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,9 +46,12 @@ def long_record(spark: SparkSession, d: str) -> DataFrame:
     return nan_to_null(table(spark, d, "harmonize"))
 
 
-def stamped(spark: SparkSession, d: str) -> DataFrame:
-    """The long record with ``ts``, the UTC instant of its stamp; null where the text fits no instant or two."""
-    h = long_record(spark, d).withColumn("ts", F.when(F.col("datetime").rlike(ISO), S.parse_datetime("datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+def stamped(spark: SparkSession, d: str, fill: bool = False) -> DataFrame:
+    """The long record, on request with values not converted yet filled by the unit stage, with ``ts``, the UTC instant of its stamp; null where the text fits no instant or two."""
+    h = long_record(spark, d)
+    if fill:
+        h = unit_aliases.fill_milligrams(h, table(spark, d, "ion_ref"))
+    h = h.withColumn("ts", F.when(F.col("datetime").rlike(ISO), S.parse_datetime("datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
     # Plain stamps pass by; the order of day and month needs no other rows, since all-numeric dates are not plain.
     zones = table(spark, d, "zone_ref").select("state_prov", F.col("zone").alias("__home"))
     other = h.filter(F.col("ts").isNull()).drop("ts").join(zones, "state_prov", "left")
@@ -56,7 +60,10 @@ def stamped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def obs(spark: SparkSession, d: str) -> DataFrame:
-    h = stamped(spark, d).filter(F.col("ion").isNotNull() & (F.col("value_mg_L") > 0) & F.col("ts").isNotNull() & F.col("station_id").isNotNull())
+    h = stamped(spark, d, fill=True).filter(F.col("ion").isNotNull() & (F.col("value_mg_L") > 0) & F.col("ts").isNotNull() & F.col("station_id").isNotNull())
+    # Copies and redelivered readings share visit and value, though not always the instant, which some deliver by date alone; other readings of the visit stay.
+    h = h.withColumn("__visit", F.coalesce(F.col("visit_no").cast("string"), F.col("ts").cast("string"))).withColumn("__same", F.round("value_mg_L", 6))
+    h = harmonize.dedup_preference(h, ("station_id", "__visit", "ion", "__same"), ("value_mg_L", "rec_id"))
     return h.select(
         "rec_id", "source", "station_id", "latitude", "longitude", "country", "state_prov", "site_type", "ts", "ion",
         F.col("value_mg_L").alias("value"), F.year("ts").alias("year"), F.month("ts").alias("month"),

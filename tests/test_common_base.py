@@ -56,3 +56,25 @@ def test_base_does_not_depend_on_the_session_zone(spark, folder):
         assert {r.ts for r in measurement.stamped(spark, d).select("ts").collect()} == {datetime(2020, 1, 2, 3, 4, 5)}
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_values_not_converted_yet_are_filled(spark, folder):
+    new = lambda v, unit, **more: {"value_mg_L": None, "value_source": v, "unit_source": unit, **more}
+    cases = [
+        (new(3.0, "mg/l"), 3.0), (new(500.0, "µg/L"), 0.5), (new(2.0, "meq/L"), 70.9), (new(1.5, "mmol/L", ion="ca"), 60.117), (new(4.0, "milligrams per litre"), 4.0),
+        (new(7.0, None, characteristic_source="Chloride, ug/L"), 0.007), ({"value_mg_L": float("nan"), "value_source": 5.0, "unit_source": "ppm"}, 5.0), ({"value_mg_L": 9.0, "value_source": 1.0}, 9.0),
+        (new(1.0, "NTU"), None), (new(1.0, None), None), (new(None, "mg/L"), None), (new(-1.0, "mg/L"), None), (new(1.0, "mmol/L", ion=None), None),
+    ]
+    got = {r.rec_id: r.value for r in measurement.obs(spark, folder(*[c for c, _ in cases])).collect()}
+    assert got == pytest.approx({k: v for k, (_, v) in enumerate(cases) if v is not None})
+
+
+def test_copies_and_redelivered_readings_count_once(spark, folder):
+    usgs = {"source": "USGS_SAMPLES", "visit_no": 1, "datetime": "2020-05-06T14:00:00Z", "value_mg_L": 10.0}
+    other = {"datetime": "2020-05-06", "value_source": 40.0, "value_mg_L": 40.0}
+    d = folder(
+        {**usgs, "source": "EPA_WQP", "datetime": "2020-05-06 10:00", "value_mg_L": None, "value_source": 10.0}, usgs, usgs, {**usgs, "source": "EPA_WQP", "datetime": "2020-05-06"},
+        {**usgs, "value_mg_L": 12.0, "fraction": "dissolved"}, {**other, "visit_no": 2}, {**other, "visit_no": 3}, {**other, "visit_no": None}, {**other, "visit_no": None, "datetime": "2020-05-07"},
+    )
+    assert sorted(r.rec_id for r in measurement.obs(spark, d).collect()) == [1, 4, 5, 6, 7, 8]
+    assert [(r.value, r.n_obs_year) for r in measurement.QUERIES["annual_means"](spark, d).collect()] == [(pytest.approx(182 / 6), 6)]
