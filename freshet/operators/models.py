@@ -97,39 +97,44 @@ def tree_nodes(model) -> list[tuple[list[tuple], float]]:
 
 
 def tree_shap(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
-    """Shapley values of one tree for one row, path-dependent: a subset takes the mean of both branches by cover elsewhere.
+    """Shapley values of one tree for one row, path-dependent: a subset takes the mean of both branches by cover elsewhere."""
+    return tree_shap_rows(nodes, np.asarray(x, dtype=float)[None, :])[0]
+
+
+def tree_shap_rows(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
+    """The same for many rows (rows by features) at once.
 
     Each leaf gives, for the features on its path, a product game; its Shapley values come from the elementary symmetric
     polynomials of the path, which costs depth squared per leaf.
     """
-    phi = np.zeros(len(x))
+    phi = np.zeros(x.shape)
 
-    def leaf(path: dict[int, tuple[float, float]], value: float) -> None:
+    def leaf(path: dict[int, tuple[float, np.ndarray]], value: float) -> None:
         feats = list(path)
         m = len(feats)
         if not m:
             return
         zero = [path[f][0] for f in feats]  # share of cover that goes this way when the feature is unknown
-        one = [path[f][1] for f in feats]  # 1 when the row itself goes this way
+        one = [path[f][1] for f in feats]  # 1 where the row itself goes this way
+        w = np.array([1.0 / (m * _choose(m - 1, s)) for s in range(m)])
         for k, f in enumerate(feats):
-            poly = np.zeros(m)  # poly[s]: sum over subsets of size s of the other features
+            poly = np.zeros((m, len(x)))  # poly[s]: sum over subsets of size s of the other features
             poly[0] = 1.0
             for j in range(m):
                 if j != k:
                     poly[1:] = poly[1:] * zero[j] + poly[:-1] * one[j]
                     poly[0] *= zero[j]
-            w = [1.0 / (m * _choose(m - 1, s)) for s in range(m)]
-            phi[f] += value * (one[k] - zero[k]) * float(np.dot(poly, w))
+            phi[:, f] += value * (one[k] - zero[k]) * (w @ poly)
 
-    def go(k: int, path: dict[int, tuple[float, float]]) -> None:
+    def go(k: int, path: dict[int, tuple[float, np.ndarray]]) -> None:
         f, t, left, right, value, cover = nodes[k]
         if f < 0:
             leaf(path, value)
             return
-        is_left = x[f] in t if isinstance(t, frozenset) else x[f] <= t
-        for child, goes in ((left, is_left), (right, not is_left)):
-            z, o = path.get(f, (1.0, 1.0))
-            go(child, {**path, f: (z * nodes[child][5] / cover, o * float(goes))})
+        is_left = np.isin(x[:, f], list(t)) if isinstance(t, frozenset) else x[:, f] <= t
+        for child, goes in ((left, is_left), (right, ~is_left)):
+            z, o = path.get(f, (1.0, np.ones(len(x))))
+            go(child, {**path, f: (z * nodes[child][5] / cover, o * goes)})
 
     go(0, {})
     return phi
@@ -142,18 +147,19 @@ def _choose(n: int, k: int) -> int:
     return out
 
 
-def mean_abs_shap(model, df: DataFrame, names: list[str], sample: int = 200, key: str = "station_id") -> DataFrame:
-    """``feature, mean_abs_shap`` over a documented sample of rows, chosen by a hash of the key, so it is the same every time."""
+def mean_abs_shap(model, df: DataFrame, names: list[str]) -> DataFrame:
+    """``feature, mean_abs_shap`` over all rows."""
     trees = tree_nodes(model)
 
     def run(batches):
         for pdf in batches:
-            rows = np.array([np.abs(sum(w * tree_shap(n, np.asarray(x)) for n, w in trees)) for x in pdf["x"]])
-            if len(rows):
-                yield pd.DataFrame({"feature": names * len(rows), "v": rows.ravel()})
+            if len(pdf):
+                x = np.array(pdf["x"].tolist(), dtype=float)
+                yield pd.DataFrame({"feature": names, "total": np.abs(sum(w * tree_shap_rows(n, x) for n, w in trees)).sum(0), "n": len(x)})
 
-    rows = df.orderBy(F.xxhash64(key, "ion")).limit(sample).select(vector_to_array("x").alias("x")).repartition(8)
-    return rows.mapInPandas(run, "feature string, v double").groupBy("feature").agg(F.avg("v").alias("mean_abs_shap"))
+    rows = df.select(vector_to_array("x").alias("x")).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    sums = rows.mapInPandas(run, "feature string, total double, n bigint")
+    return sums.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("mean_abs_shap"))
 
 
 # ---- Regimes -------------------------------------------------------------------------------------------------------
