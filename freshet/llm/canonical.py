@@ -219,7 +219,7 @@ def _map_sharded(texts: DataFrame, reference: DataFrame, kind: str, units: bool)
         return _frame(right["text"], hits)
 
     found = listed.groupBy("shard", "lot").cogroup(asked.groupBy("shard", "lot")).applyInPandas(run, _OUT)
-    best = F.min_by(F.struct("ref_id", "distance", "spelling"), F.struct(F.coalesce("distance", F.lit(99)), F.col("ref_id"), F.col("spelling")))
+    best = F.min_by(F.struct("ref_id", "distance", "spelling"), F.struct(F.coalesce("distance", F.lit(99)), F.col("ref_id") == 0, F.col("ref_id"), F.col("spelling")))
     return found.groupBy("text").agg(best.alias("b")).select("text", "b.*")
 
 
