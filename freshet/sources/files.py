@@ -14,6 +14,9 @@ ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 _JAVA = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}
 _CP1252 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
+#: Rows up to which a part of a summary document is taken.
+SUMMARY_ROWS = 10_000
+
 
 def _head(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
     """First bytes of the first file of a path, whatever file system it lies on."""
@@ -121,8 +124,11 @@ def write_records_json(df: DataFrame, path: str) -> None:
 
 
 def summary_document(parts: dict[str, DataFrame]) -> DataFrame:
-    """``part, document``: a JSON text per part; each part is a small summary of at most 10,000 rows."""
-    rows = [df.limit(10_000).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("document")).select(F.lit(name).alias("part"), "document") for name, df in parts.items()]
+    """``part, document``: a JSON text per part; each part is a small summary, one of more than 10,000 rows is refused."""
+    for name, df in parts.items():
+        if df.limit(SUMMARY_ROWS + 1).count() > SUMMARY_ROWS:
+            raise ValueError(f"summary part {name} has more than {SUMMARY_ROWS} rows; write it with write_records_json")
+    rows = [df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("document")).select(F.lit(name).alias("part"), "document") for name, df in parts.items()]
     return reduce(DataFrame.unionByName, rows)
 
 
