@@ -96,6 +96,7 @@ class UnitIndex:
     @lru_cache(maxsize=100_000)  # noqa: B019
     def best(self, spelling: str, most: float = MAX_COST) -> tuple[float, str, str, float] | None:
         """(cost, known text, basis, factor) of the cheapest known text within ``most``; ties go to the earlier one."""
+        spelling = spelling.strip()
         if len(spelling) > 60:
             return None
         grams = _bigrams(spelling)
@@ -107,7 +108,7 @@ class UnitIndex:
         for k, n in shared.items():
             if 2 * n < MIN_OVERLAP * (len(grams) + len(self.grams[k])):
                 continue
-            cost = weighted_distance(spelling.strip(), self.texts[k][0], most)
+            cost = weighted_distance(spelling, self.texts[k][0], most)
             if cost <= most and (found is None or (cost, k) < (found[0], found[4])):
                 found = (cost, *self.texts[k], k)
         return found and found[:4]
