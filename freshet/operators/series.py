@@ -15,8 +15,12 @@ SERIES = ["station_id", "ion"]
 
 
 def annual_means(df: DataFrame, keys: list[str] = SERIES, year: str = "year", value: str = "value") -> DataFrame:
-    """``*keys, year, value, n_obs_year``: mean and count per year; the partial sums are combined before the shuffle."""
-    return df.groupBy(*keys, year).agg(F.avg(value).alias("value"), F.count(value).alias("n_obs_year"))
+    """``*keys, year, value, n_obs_year``: mean and count per year; the partial sums are combined before the shuffle.
+
+    Means are taken to nine decimals, so that the order of summation, which changes with the partitions, never makes or
+    breaks a tie between two years.
+    """
+    return df.groupBy(*keys, year).agg(F.round(F.avg(value), 9).alias("value"), F.count(value).alias("n_obs_year"))
 
 
 def gather(annual: DataFrame, keys: list[str] = SERIES, year: str = "year", value: str = "value") -> DataFrame:

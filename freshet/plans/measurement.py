@@ -1,8 +1,8 @@
 """Queries of the measurement pipeline over whole tables, each with its SQL counterpart where SQL can say it.
 
 ``obs`` is the common base: readings of a target ion with a positive number, reported in mg/L or converted, a station, and a
-stamp in any written form that fits one instant, each reading once. The SQL reads the form ``YYYY-MM-DDTHH:MM:SSZ`` and
-``value_mg_L`` alone, with all copies, so it covers a part of the rows (see README).
+stamp in any written form that fits one instant, each reading once. The SQL says the same of the same whole tables, from
+``base_sql``.
 """
 
 from __future__ import annotations
@@ -14,17 +14,42 @@ from pyspark.sql import functions as F
 
 from freshet.functions import scalars as S
 from freshet.operators import harmonize, models, proximity, series, stations, timestamps, unit_aliases
+from freshet.plans import base_sql
 from freshet.sources.tables import nan_to_null, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Means and medians of readings often lie on a rounding tie; a common factor moves them off it alike in both engines.
+NUDGE = 1.000000000001
+
+
+def nudged(sql: str) -> str:
+    """``sql`` with each ``round(x, digits)`` after the common base taken of ``x * NUDGE``."""
+    head, body = (sql[: len(WITH)], sql[len(WITH) :]) if sql.startswith(WITH) else ("", sql)
+    out, k = "", 0
+    while (at := body.find("round(", k)) >= 0:
+        depth, comma, end = 0, None, at + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(body[end], 0)
+            if body[end] == "," and depth == 1:
+                comma = end
+            if depth == 0:
+                break
+            end += 1
+        if comma is None or (at and (body[at - 1].isalnum() or body[at - 1] == "_")):
+            out, k = out + body[k : at + 6], at + 6
+        else:
+            out, k = out + body[k:at] + f"round(({body[at + 6 : comma]}) * {NUDGE!r}{body[comma : end + 1]}", end + 1
+    return head + out + body[k:]
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = nudged(sql)
         return f
 
     return add
@@ -33,13 +58,16 @@ def query(sql: str | None = None):
 ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
 MIN_YEARS = 5
 
-_TS = f"CASE WHEN regexp_matches(datetime, '{ISO}') THEN try_strptime(datetime, '%Y-%m-%dT%H:%M:%SZ') END"
 _NUM = lambda c: f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
-_H = f"SELECT * REPLACE ({_NUM('value_mg_L')} AS value_mg_L, {_NUM('value_source')} AS value_source, {_NUM('detection_limit')} AS detection_limit, {_NUM('latitude')} AS latitude, {_NUM('longitude')} AS longitude), {_TS} AS ts FROM harmonize"
-WITH = f"""WITH h AS ({_H}),
-obs AS (SELECT rec_id, source, station_id, latitude, longitude, country, state_prov, site_type, ts, ion, value_mg_L AS value, year(ts)::INT AS year, month(ts)::INT AS month
-        FROM h WHERE ion IS NOT NULL AND value_mg_L > 0 AND ts IS NOT NULL AND station_id IS NOT NULL),
-ann AS (SELECT station_id, ion, year, avg(value) AS value, count(*) AS n_obs_year FROM obs GROUP BY ALL)"""
+_RANK = "CASE source WHEN 'USGS_SAMPLES' THEN 0 WHEN 'EPA_WQP' THEN 1 WHEN 'ECCC' THEN 2 WHEN 'ON_PWQMN' THEN 3 WHEN 'BC_EMS' THEN 4 ELSE 9 END"
+_H = f"""h AS (SELECT h.* REPLACE ({', '.join(f'{_NUM("h." + c)} AS {c}' for c in ('value_mg_L', 'value_source', 'detection_limit', 'latitude', 'longitude'))}), s.utc AS ts, s.status AS ts_status
+  FROM harmonize h LEFT JOIN stamp s ON h.rec_id = s.rec_id)"""
+_OBS = f"""filled AS (SELECT h.*, coalesce(value_mg_L, value_source * (factor / 1000 * {base_sql.SCALE})) AS value, value_mg_L IS NULL AS was_null FROM h JOIN unit_of USING (rec_id)),
+obs AS (SELECT rec_id, source, station_id, latitude, longitude, country, state_prov, site_type, ts, ion, value, year(ts)::INT AS year, month(ts)::INT AS month
+        FROM filled WHERE ion IS NOT NULL AND value > 0 AND ts IS NOT NULL AND station_id IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY station_id, coalesce(visit_no::VARCHAR, ts::VARCHAR), ion, round(value, 6) ORDER BY {_RANK}, value, rec_id) = 1)"""
+WITH = f"""WITH {base_sql.STAMPS}, {base_sql.UNITS}, {_H}, {_OBS},
+ann AS (SELECT station_id, ion, year, round(avg(value), 9) AS value, count(*) AS n_obs_year FROM obs GROUP BY ALL)"""
 
 
 def long_record(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +115,7 @@ _PLACES = """n AS (SELECT station_id, latitude AS lat, longitude AS lon, count(*
 places AS (SELECT station_id AS id, lat, lon FROM n QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY n DESC, lat, lon) = 1)"""
 _COV = "cov AS (SELECT * FROM station_covariates)"
 _HAV = "2 * 6371.0088 * asin(least(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)), 1.0))"
-R = lambda c, n=6: F.round(c, n)
+R = lambda c, n=6: F.round((F.col(c) if isinstance(c, str) else c) * NUDGE, n)
 
 # ---- scans, counts, scalars ----------------------------------------------------------------------------------------
 
@@ -167,9 +195,6 @@ def domain_filters(spark, d):
     return harmonize.domain_filter(stamped(spark, d), "ts").groupBy("ion", "country").agg(F.count("*").alias("n"))
 
 
-_RANK = "CASE source WHEN 'USGS_SAMPLES' THEN 0 WHEN 'EPA_WQP' THEN 1 WHEN 'ECCC' THEN 2 WHEN 'ON_PWQMN' THEN 3 WHEN 'BC_EMS' THEN 4 ELSE 9 END"
-
-
 @query(f"{WITH} SELECT rec_id, source, station_id, ion FROM obs QUALIFY row_number() OVER (PARTITION BY station_id, ts, ion ORDER BY {_RANK}, value, rec_id) = 1")
 def dedup_preference(spark, d):
     return harmonize.dedup_preference(obs(spark, d), ties=("value", "rec_id")).select("rec_id", "source", "station_id", "ion")
@@ -185,10 +210,9 @@ def union_sources(spark, d):
 # ---- annual series -------------------------------------------------------------------------------------------------
 
 
-# Means of two readings often lie on a rounding tie; the factor moves them off it alike in both engines.
-@query(f"{WITH} SELECT station_id, ion, year, round(value * 1.000000000001, 6) AS value, n_obs_year FROM ann")
+@query(f"{WITH} SELECT station_id, ion, year, round(value, 6) AS value, n_obs_year FROM ann")
 def annual_means(spark, d):
-    return annual(spark, d).select("station_id", "ion", "year", R(F.col("value") * 1.000000000001).alias("value"), "n_obs_year")
+    return annual(spark, d).select("station_id", "ion", "year", R("value").alias("value"), "n_obs_year")
 
 
 @query(f"""{WITH}, k AS (SELECT station_id, ion FROM (SELECT station_id, ion, year FROM obs GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL HAVING count(*) >= {MIN_YEARS})
@@ -223,10 +247,10 @@ def feature_table(spark, d):
 @query(f"""{WITH}, {_FEATURES}, s AS (SELECT *, CASE WHEN year <= 2013 THEN 'train' WHEN year <= 2017 THEN 'valid' ELSE 'test' END AS split FROM feat WHERE lag1 IS NOT NULL)
 SELECT split, ion, count(*) AS n, round(avg(abs(log_value - lag1)), 6) AS mae, round(sqrt(avg(pow(log_value - lag1, 2))), 6) AS rmse,
  round(1 - sum(pow(log_value - lag1, 2)) / (sum(log_value * log_value) - sum(log_value) * sum(log_value) / count(*)), 4) AS r2,
- round(median(abs(exp(log_value) - exp(lag1))), 6) AS median_abs_native FROM s GROUP BY split, ion HAVING count(*) > 9""")
+ round(median(abs(exp(log_value) - exp(lag1))), 6) AS median_abs_native FROM s GROUP BY split, ion""")
 def persistence_measures(spark, d):
     s = series.temporal_split(series.features(annual(spark, d)))
-    m = series.error_measures(s, "log_value", "lag1", ["split", "ion"]).filter("n > 9")
+    m = series.error_measures(s, "log_value", "lag1", ["split", "ion"])
     return m.select("split", "ion", "n", R("mae").alias("mae"), R("rmse").alias("rmse"), R("r2", 4).alias("r2"), R("median_abs_native").alias("median_abs_native"))
 
 
