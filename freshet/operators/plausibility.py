@@ -37,15 +37,15 @@ PASS_ROWS = 150_000
 #: Steps of expectation and maximisation, and the weight in records of the common values that hold the learned ones.
 STEPS, HOLD = 2, 30.0
 #: Probability of not being normal from which a visit is a candidate for an exact check (see ``found``).
-CANDIDATE = 0.001
+CANDIDATE = 0.0001
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 SIGMA, SAME = 0.45, 0.06
 START = np.array([0.96, 0.015, 0.015, 0.01])
 STEP = np.array([[0.983, 0.010, 0.004, 0.003], [0.90, 0.09, 0.005, 0.005], [0.06, 0.005, 0.93, 0.005], [0.90, 0.02, 0.01, 0.07]])
 # Bounds of what is learned. They keep the doubt about six equal visits, and about a reading beyond the factor, above CANDIDATE
-# whatever a series is like: (0.97 / 0.3) ** 6 * 0.002 * 0.02 * 0.8 ** 5, and 0.002 * 0.05 over the normal density at log 8.
-SIGMA_RANGE, SAME_RANGE = (0.05, 1.0), (0.005, 0.3)
+# whatever a series is like: (0.97 / 0.6) ** 6 * 0.002 * 0.02 * 0.8 ** 5, and 0.002 * 0.05 over the normal density at log 8.
+SIGMA_RANGE, SAME_RANGE = (0.05, 1.0), (0.005, 0.6)
 STEP_LEAST = np.array([[0.5, 0.002, 0.002, 0.002], [0.05, 0.002, 0.002, 0.002], [0.02, 0.002, 0.8, 0.002], [0.05, 0.002, 0.002, 0.002]])
 
 
@@ -389,12 +389,12 @@ def flag_records(df: DataFrame, key: str | None = "rec_id", factor: float = FACT
     return out.unionByName(join_dictionary(hot, flagged, ["station_id", "ion", "visit_no", "value"]).select(*out.columns))
 
 
-def found(df: DataFrame) -> DataFrame:
+def found(df: DataFrame, **how) -> DataFrame:
     """Records below 0, beyond eight times the median of their station and ion or below its eighth, or in a run of six equal visits.
 
     The model gives the candidates: all records with a doubt of at least ``CANDIDATE``, which its bounds guarantee for
     every such case (see STEP_LEAST). The exact rule then decides among them.
     """
     v, m = F.col("value"), F.col("median")
-    doubted = flag_records(df, least_doubt=CANDIDATE)
+    doubted = flag_records(df, least_doubt=CANDIDATE, **how)
     return doubted.filter((v < 0) | (v > FACTOR * m) | (v < m / FACTOR) | (F.col("run_length") >= RUN)).select("rec_id")

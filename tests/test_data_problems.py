@@ -317,11 +317,11 @@ def _readings():
     return rows + [(k + 1, "s1", None, 1, 5.0, False), (k + 2, None, "cl", 1, 5.0, False), (k + 3, "s1", "cl", None, 5.0, False), (k + 4, "s1", "cl", 3, None, False), (k + 5, "s1", "cl", 4, float("nan"), False), (k + 6, "s1", "cl", 5, 1e9, None), (k + 7, "one", "cl", 5, 0.0, False)]
 
 
-@pytest.mark.parametrize("block,chunk", [(4096, 2048), (64, 40)])
-def test_flags_against_brute_force(spark, block, chunk):
+@pytest.mark.parametrize("long,block,chunk", [(100_000, 4096, 512), (100_000, 4096, 40), (50, 64, 40)])
+def test_flags_against_brute_force(spark, long, block, chunk):
     rows = _readings()
     df = spark.createDataFrame(rows, "rec_id long, station_id string, ion string, visit_no long, value_mg_L double, below_detection boolean").selectExpr("*", "1 as value", "2 as median")
-    got = {r.rec_id for r in plausibility.flag_records(df, flags=(2, 3), block=block, chunk=chunk).collect()}
+    got = {r.rec_id for r in plausibility.found(df, long=long, block=block, chunk=chunk).collect()}
     assert got == _flags_brute(rows)
     assert plausibility.found(df.limit(0)).count() == 0
 
@@ -329,7 +329,8 @@ def test_flags_against_brute_force(spark, block, chunk):
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(3)
     e = rng.uniform(0.05, 1, (9, 4))
-    post = plausibility.posteriors(e, np.array([0, 5]), np.array([5, 4]))
+    post, moves = plausibility.posteriors(e, np.array([0, 5]), np.array([5, 4]))
+    assert np.allclose(moves.sum((1, 2)), [4, 3])
     import itertools
 
     for first, n in ((0, 5), (5, 4)):
@@ -341,3 +342,35 @@ def test_forward_backward_matches_enumeration():
             for t in range(n):
                 total[t, path[t]] += p
         assert np.allclose(post[first : first + n], total / total.sum(1, keepdims=True))
+
+
+def _flag_frame(spark, series):
+    rows = [(f"s{k}", "cl", i, float(x), False) for k, v in enumerate(series) for i, x in enumerate(v)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "rec_id long, station_id string, ion string, visit_no long, value_mg_L double, below_detection boolean")
+    return df.repartition(5)
+
+
+def test_posteriors_overrule_the_plain_rules(spark):
+    rng = np.random.default_rng(8)
+    steps = rng.choice([10.0, 11.0], 400)  # two levels only: runs of six are usual here
+    noisy = 10 * np.exp(rng.normal(0, 0.9, 400))  # a wide series: a reading four times the median is usual here
+    calm = 10 * np.exp(rng.normal(0, 0.05, 400))  # a calm one: twice the median is a spike
+    calm[200] *= 2.2
+    noisy[200] = 40.0
+    calm[300:306] = 10.0
+    got = {(r.station_id, r.visit_no): r for r in plausibility.flag_visits(_flag_frame(spark, [steps, noisy, calm]), least_doubt=0.0).collect()}
+    runs = [r for r in got.values() if r.station_id == "s0" and r.run_length >= 6]
+    assert runs and sum(r.flag == 2 for r in runs) < len(runs) / 2  # runs of six that are not stuck
+    assert got["s2", 200].flag == 1 and got["s1", 200].flag == 0 and all(got["s2", k].flag == 2 for k in range(300, 306))
+    assert all(got["s0", r.visit_no].doubt > plausibility.CANDIDATE for r in runs)
+
+
+def test_long_series_are_judged_like_short_ones(spark):
+    rng = np.random.default_rng(9)
+    v = [np.round(20 * np.exp(rng.normal(0, 0.3, n)), 1) for n in (700, 90, 1500)]
+    for x in v:
+        x[rng.choice(len(x), 6, replace=False)] *= 9
+        x[50:58] = x[50]
+    df = _flag_frame(spark, v)
+    got = [{(r.station_id, r.visit_no): (r.flag, round(r.doubt, 5)) for r in plausibility.flag_visits(df, long=long, chunk=128, block=100).collect()} for long in (10_000, 80)]
+    assert got[0].keys() == got[1].keys() and all(got[0][k][0] == got[1][k][0] and abs(got[0][k][1] - got[1][k][1]) < 1e-4 for k in got[0])
