@@ -55,10 +55,6 @@ class Model:
     def __init__(self, sigma: np.ndarray, same: np.ndarray, step: np.ndarray):
         self.sigma, self.same, self.step = sigma, same, step
 
-    @classmethod
-    def common(cls, n: int) -> Model:
-        return cls(np.full(n, SIGMA), np.full(n, SAME), np.broadcast_to(STEP, (n, 4, 4)))
-
     @classmethod
     def learned(cls, sums: np.ndarray) -> Model:
         """From the sums of ``expectations`` of each series (rows of 19)."""
@@ -156,6 +152,11 @@ class Chunks:
         np.add.at(sums, self.series, moves.reshape(-1, 16))
         return np.column_stack((count(w), count(w * self.x**2), count(w * self.same), sums))
 
+    def first_look(self, n: int) -> np.ndarray:
+        """Sums like those of ``expectations`` in which every row is normal: the share of repeats, with common spread and transitions."""
+        count = lambda v: np.bincount(self.row_series, v * self.core, n)
+        return np.column_stack((count(np.ones(len(self.x))), count(np.full(len(self.x), SIGMA**2)), count(self.same), np.zeros((n, 16))))
+
     def judge(self, model: Model, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """Per row the flag (0 none, 1 spike, 2 stuck, 3 out of range) and the probability of not being normal."""
         post, _ = self.run(model, factor)
@@ -166,7 +167,7 @@ class Chunks:
 
 def learn(chunks: Chunks, n: int, factor: float, steps: int = STEPS) -> Model:
     """The models of ``n`` whole series."""
-    model = Model.common(n)
+    model = Model.learned(chunks.first_look(n))
     for _ in range(steps):
         model = Model.learned(chunks.expectations(model, factor))
     return model
@@ -265,15 +266,15 @@ def _judge_whole(factor: float, chunk: int, margin: int, least_doubt: float, nam
     return go
 
 
-def _piece(t: pa.Table) -> tuple[Chunks, Model, np.ndarray]:
-    """Chunks of long series with the model that came with each row, and the first row of each chunk."""
+def _piece(t: pa.Table) -> tuple[Chunks, Model | None, np.ndarray]:
+    """Chunks of long series with the model that came with each row (none at first), and the first row of each chunk."""
     new = _changes(t, [*_SERIES, "part"])
     number = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     c = Chunks(number, t["value"].to_numpy(), t["median"].to_numpy(), t["core"].to_numpy(zero_copy_only=False), number)
     head = t.take(pa.array(first))
     if head["sigma"].null_count:
-        return c, Model.common(len(first)), first
+        return c, None, first
     return c, Model(head["sigma"].to_numpy(), head["same"].to_numpy(), np.array(head["step"].to_pylist(), float).reshape(-1, 4, 4)), first
 
 
@@ -281,7 +282,7 @@ def _sum_pieces(factor: float):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_whole(batches, [*_SERIES, "part"], PASS_ROWS):
             c, model, first = _piece(t)
-            sums = c.expectations(model, factor)
+            sums = c.expectations(model, factor) if model else c.first_look(len(first))
             yield from t.select(_SERIES).take(pa.array(first)).append_column("sums", pa.array(sums.tolist(), pa.list_(pa.float64()))).to_batches()
 
     return go
@@ -343,7 +344,7 @@ def _flag_long(rows: DataFrame, factor: float, chunk: int, margin: int, block: i
     pieces = reliable_checkpoint(pieces.repartition(*_SERIES, "part").sortWithinPartitions(*_SERIES, "part", "visit_no", "value"))
     none = pieces.withColumns({"sigma": F.lit(None).cast("double"), "same": F.lit(None).cast("double"), "step": F.lit(None).cast("array<double>")})
     now = none
-    for _ in range(STEPS):
+    for _ in range(STEPS + 1):
         sums = now.mapInArrow(_sum_pieces(factor), "station_id string, ion string, sums array<double>")
         total = sums.groupBy(*_SERIES).agg(F.array(*[F.sum(F.get("sums", F.lit(k))) for k in range(19)]).alias("sums"))
         model = reliable_checkpoint(total.mapInPandas(_learned_frame, "station_id string, ion string, sigma double, same double, step array<double>"))
