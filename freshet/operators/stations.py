@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import ION_KEYS, bounded_ratio, clip, haversine_km, project, project_policy, safe_ratio, season, shift_climate
-from freshet.operators.proximity import near_pairs
+from freshet.operators.proximity import near_spots, spots_of
 from freshet.operators.series import gather, middle, pair_slopes
-from freshet.session import reliable_checkpoint
+from freshet.session import join_dictionary, reliable_checkpoint
 
 THRESHOLDS = [120.0, 230.0, 860.0]
 #: Points of a climate grid that are broadcast and searched as one array.
@@ -144,26 +144,43 @@ def grid_interpolate(places: DataFrame, grid: DataFrame, values: list[str], step
     return linear.select("id", *[F.coalesce(F.col(v), nearest(v)).alias(v) for v in values])
 
 
-def proximity_clusters(places: DataFrame, threshold_km: float = 1.0, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` of all nodes of the edges (``a, b``): the least node of the connected component.
+
+    Large stars and small stars alternate until the edges stay as they are; a chain of n nodes settles in about log n
+    rounds, and the number of edges never grows, so a hub costs no more than its edges. Each round is written to the
+    checkpoint folder; only a count and a sum of hashes reach the driver.
+    """
+    e = reliable_checkpoint(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    old = mark(e)
+    while True:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
+        e = reliable_checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        new = mark(e)
+        if new == old:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        old = new
+
+
+def proximity_clusters(places: DataFrame, threshold_km: float = 1.0) -> DataFrame:
     """``id, cluster_id``: connected components of places at most ``threshold_km`` apart; the label is the least id.
 
-    Labels jump along the edges and then to the label of the label, so chains of n places take about log n rounds. Each
-    round is written to the checkpoint folder. Places without a position form no cluster: null label.
+    The components are those of the positions; one join gives them to the places, so a crowd at one position costs one
+    point. Places without a position form no cluster: null label.
     """
-    ids = places.select("id", "lat", "lon")
-    pairs = near_pairs(ids, threshold_km)
-    edges = reliable_checkpoint(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(pairs.select(F.col("id_b").alias("a"), F.col("id_a").alias("b"))))
-    labels = reliable_checkpoint(ids.select("id", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("id")).alias("cluster_id")))
-    for _ in range(most_rounds):
-        around = edges.join(labels, edges.a == labels.id).groupBy("b").agg(F.min("cluster_id").alias("near"))
-        step = labels.join(around, labels.id == around.b, "left").select("id", F.least("cluster_id", F.coalesce("near", "cluster_id")).alias("new"), F.col("cluster_id").alias("old"))
-        parent = step.select(F.col("id").alias("pid"), F.col("new").alias("up"))
-        jumped = step.join(parent, step.new == parent.pid, "left").select("id", F.coalesce("up", "new").alias("cluster_id"), (F.coalesce("up", "new") != F.col("old")).alias("moved"))
-        jumped = reliable_checkpoint(jumped)
-        labels = jumped.select("id", "cluster_id")
-        if jumped.filter("moved").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    member = reliable_checkpoint(spots_of(places))
+    pairs = near_spots(member, threshold_km)
+    roots = components(pairs.select(F.col("spot_a").alias("a"), F.col("spot_b").alias("b")))
+    near = join_dictionary(member.select("id", "spot"), roots.select(F.col("node").alias("spot"), "root"), ["spot"], "left").select("id", F.coalesce("root", "spot").alias("root"))
+    labels = near.groupBy("root").agg(F.min("id").alias("cluster_id"))
+    labelled = join_dictionary(near, labels, ["root"]).select(F.col("id").alias("__id"), "cluster_id")
+    ids = places.select("id")
+    return ids.join(labelled, F.col("id") == F.col("__id"), "left").select("id", "cluster_id")
 
 
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:

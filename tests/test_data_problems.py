@@ -7,11 +7,12 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from freshet.operators import plausibility, proximity, timestamps, unit_aliases
+from freshet.operators import plausibility, proximity, stations, timestamps, unit_aliases
 from freshet.sources import records
 
 STAMPS = [
@@ -153,15 +154,66 @@ def test_near_pairs_brute_force(spark):
     assert proximity.near_pairs(df.limit(0), 1.0).count() == 0
 
 
-def test_salted_blocks_lose_nothing(spark):
+def test_crowded_blocks_lose_nothing(spark):
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(2)
     pts = spark.createDataFrame([(str(i), float(rng.uniform(0, 1)), float(rng.uniform(0, 1))) for i in range(400)], "point_id string, x double, y double")
     discs = proximity.disc_trapezoids(pts.select(F.col("point_id").alias("region_id"), "x", "y"), 5.0)
-    a = {tuple(r) for r in proximity.locate(pts, discs).collect()}
-    b = {tuple(r) for r in proximity.locate(pts, discs, per_task=7).collect()}
-    assert a == b and len(a) > 400
+    rows = [(r.point_id, r.y, r.x) for r in pts.collect()]
+    want = _pairs_brute(rows, 5.0) | {(r[0], r[0]) for r in rows}
+    for how in ({}, {"per_task": 7}, {"per_task": 1}, {"per_task": 1, "least_side": 0.09}):
+        got = proximity.locate(pts, discs, **how).collect()
+        assert len(got) == 2 * (len(want) - 400) + 400 and {tuple(sorted(r[:2])) for r in got} == want
+
+
+@pytest.mark.parametrize("km", [0.3, 80.0, 900.0])
+def test_disc_trapezoids_cover_the_disc(spark, km):
+    rng = np.random.default_rng(3)
+    lat = np.concatenate((rng.uniform(-84.9, 84.9, 60), [89.9, -89.9, 86.0, 0.0, 10.0, -10.0]))
+    lon = np.concatenate((rng.uniform(-180, 180, 60), [0.0, 50.0, 100.0, 180.0, -179.9999, 179.9999]))
+    angle, far = rng.uniform(0, 2 * np.pi, (66, 12)), km / 6371.0088 * np.concatenate((np.full((66, 9), 0.999999), rng.uniform(0, 1, (66, 3))), 1)
+    a, b = np.radians(lat)[:, None], np.radians(lon)[:, None]
+    y = np.arcsin(np.sin(a) * np.cos(far) + np.cos(a) * np.sin(far) * np.cos(angle))
+    x = b + np.arctan2(np.sin(angle) * np.sin(far) * np.cos(a), np.cos(far) - np.sin(a) * np.sin(y))
+    x = (np.degrees(x) + 180) % 360 - 180
+    discs = proximity.disc_trapezoids(spark.createDataFrame([(str(i), float(u), float(v)) for i, (u, v) in enumerate(zip(lon, lat))], "region_id string, x double, y double"), km)
+    pts = spark.createDataFrame([(f"{i}/{k}", float(x[i, k]), float(np.degrees(y[i, k]))) for i in range(66) for k in range(12)], "point_id string, x double, y double")
+    got = {tuple(r) for r in proximity.locate(pts, discs, 20.0, 20.0).filter("split(point_id, '/')[0] = region_id").select("point_id", "region_id").collect()}
+    assert got == {(f"{i}/{k}", str(i)) for i in range(66) for k in range(12)}
+
+
+def test_many_places_in_one_block_and_on_one_spot(spark):
+    from pyspark.sql import functions as F
+
+    n, km = 200_000, 0.05
+    rng = np.random.default_rng(5)
+    lat, lon = np.sort(rng.uniform(45.0, 45.199, n)), rng.uniform(-75.999, -75.001, n)
+    pdf = pd.DataFrame({"id": [f"p{i:06d}" for i in range(n)], "lat": lat, "lon": lon})
+    crowd = spark.range(50_000).select(F.format_string("q%05d", "id").alias("id"), F.lit(45.1).alias("lat"), F.lit(-75.5).alias("lon"))
+    member = proximity.spots_of(spark.createDataFrame(pdf).unionByName(crowd))
+    want, reach = 0, np.degrees(km / 6371.0088)
+    lat2, lon2 = np.append(lat, 45.1), np.append(lon, -75.5)
+    order = np.argsort(lat2)
+    lat2, lon2 = lat2[order], lon2[order]
+    end = np.searchsorted(lat2, lat2 + reach * 1.0001, "right")
+    for k in range(1, int((end - np.arange(n + 1)).max())):
+        i = np.flatnonzero(np.arange(n + 1) + k < end)
+        want += int((proximity._km(lon2[i], lat2[i], lon2[i + k], lat2[i + k]) <= km).sum())
+    assert proximity.near_spots(member, km).count() == want > 10_000
+    labels = stations.proximity_clusters(member.select("id", "lat", "lon"), km)
+    assert labels.filter("id like 'q%'").select("cluster_id").distinct().count() == 1 and labels.count() == n + 50_000
+
+
+def test_pairs_of_a_crowd_at_one_position(spark):
+    rows = [(f"s{i:04d}", 10.0, 20.0) for i in range(60)] + [(f"t{i:04d}", 10.001, 20.0) for i in range(30)] + [("far", 11.0, 20.0)]
+    df = spark.createDataFrame(rows, "id string, lat double, lon double")
+    old, proximity.LOT = proximity.LOT, 7
+    try:
+        assert {(r.id_a, r.id_b) for r in proximity.near_pairs(df, 1.0).collect()} == _pairs_brute(rows, 1.0)
+        assert proximity.near_pairs(df, 1.0).count() == 90 * 89 // 2
+    finally:
+        proximity.LOT = old
 
 
 def test_regions_hold_points(spark):
@@ -169,7 +221,7 @@ def test_regions_hold_points(spark):
     regions = spark.createDataFrame([(n, r and [(float(x), float(y)) for x, y in r]) for n, r in rings], "region_id string, ring array<struct<x: double, y: double>>")
     pts = [("in", 1.0, 1.0), ("out", 3.0, 3.0), ("border", 2.0, 2.0), ("notch", 12.0, 3.0), ("arm", 10.5, 2.0), ("corner", 0.0, 0.0), ("null", None, 1.0), ("nan", float("nan"), 1.0)]
     df = spark.createDataFrame(pts, "point_id string, x double, y double")
-    got = {tuple(r) for r in proximity.locate(df, proximity.decompose(regions, 0.5), 0.5, 1.0).collect()}
+    got = {tuple(r) for r in proximity.locate(df, proximity.decompose(regions, 0.5), 0.5, 1.0).select("point_id", "region_id").collect()}
     assert got == {("in", "tri"), ("border", "tri"), ("arm", "concave"), ("corner", "tri")}
 
 
