@@ -36,6 +36,7 @@ def parse_datetime(text, *formats: str) -> Column:
 
 def standard_ion(name) -> Column:
     """Ion key of a determinand name; adsorption ratios and carbonates of calcium are not ions; null when none fits."""
+    # The texts that name an ion, and their order.
     n = F.lower(F.trim(_c(name)))
     return (
         F.when(n.contains("alkalinity"), "alk")
@@ -58,7 +59,7 @@ def fraction_class(name, fallback: str = "unknown", fix_unfiltered: bool = False
 
 # Unit texts understood by the plain converter, after trimming and lower-casing.
 UNIT_NAMES = {
-    "mg/l": "mg/L", "milligram per liter": None, "ppm": "mg/L", "ug/l": "ug/L", "µg/l": "ug/L", "ppb": "ug/L",
+    "mg/l": "mg/L", "milligram per liter": "mg/L", "ppm": "mg/L", "ug/l": "ug/L", "µg/l": "ug/L", "ppb": "ug/L",
     "meq/l": "meq/L", "mmol/l": "mmol/L", "mol/m3": "mol/m3", "mol/m^3": "mol/m3",
 }
 
@@ -68,8 +69,7 @@ def unit_name(unit) -> Column:
     t = F.trim(_c(unit))
     out = F.when(_c(unit).isNull(), "")
     for text, name in UNIT_NAMES.items():
-        if name:
-            out = out.when(F.lower(t) == text, name)
+        out = out.when(F.lower(t) == text, name)
     return out.otherwise(t)
 
 
@@ -83,6 +83,7 @@ def unit_factor(unit, ion) -> Column:
 
 def is_below(flag, value, limit) -> Column:
     """True when the marker says below detection, or the value is missing and a limit is given."""
+    # Markers of readings below detection.
     mark = F.coalesce(F.trim(_c(flag)), F.lit("")).isin("<", "ND", "BDL", "U", "<=")
     return mark | (_c(value).isNull() & _c(limit).isNotNull())
 
@@ -153,3 +154,42 @@ def safe_name(text, length: int = 60) -> Column:
 def plain_dashes(text) -> Column:
     """En and em dashes as hyphens."""
     return F.translate(_c(text), "–—", "--")
+
+
+def calendar_windows(first_day, last_day) -> Column:
+    """Array of structs ``start, end``: the calendar years between two days, the first and last cut to them; null or crossed days give none."""
+    a, b = F.to_date(_c(first_day)), F.to_date(_c(last_day))
+    years = F.when(a <= b, F.sequence(F.year(a), F.year(b)))
+    return F.transform(years, lambda y: F.struct(F.greatest(a, F.make_date(y, F.lit(1), F.lit(1))).alias("start"), F.least(b, F.make_date(y, F.lit(12), F.lit(31))).alias("end")))
+
+
+def yearly_precipitation(flux) -> Column:
+    """Millimetres a year of a precipitation flux in kg per square metre and second."""
+    return _c(flux) * (86400 * 365)
+
+
+# Factors from the raw units of covariates to those used (tenths, tenths a month, months); shares of land cover become per cent.
+COVARIATE_SCALES = {"temp_c": 0.1, "pet_mm": 1.2, "pr_tc_mm": 12.0, "soil_ph": 0.1}
+
+
+def scaled_covariates(columns: list[str]) -> list[Column]:
+    """The columns in order, those with another raw unit scaled to the one in use."""
+    factor = lambda c: 100.0 if c.startswith("lc_") else COVARIATE_SCALES.get(c)
+    return [(F.col(c) * factor(c)).alias(c) if factor(c) else F.col(c) for c in columns]
+
+
+def albers(lat, lon) -> tuple[Column, Column]:
+    """(x, y) in metres of the equal-area conic map of North America: GRS 80, parallels 20 and 60 degrees, origin 40 N 96 W."""
+    import math
+
+    a, f = 6378137.0, 1 / 298.257222101
+    e = math.sqrt(2 * f - f * f)
+    area = lambda s: (1 - e * e) * (s / (1 - e * e * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    scale = lambda d: math.cos(math.radians(d)) / math.sqrt(1 - (e * math.sin(math.radians(d))) ** 2)
+    q = lambda d: area(math.sin(math.radians(d)))
+    n = (scale(20) ** 2 - scale(60) ** 2) / (q(60) - q(20))
+    c = scale(20) ** 2 + n * q(20)
+    s = F.sin(F.radians(_c(lat)))
+    here = (1 - e * e) * (s / (1 - e * e * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    rho, theta = a * F.sqrt(c - n * here) / n, n * F.radians(_c(lon) + 96)
+    return rho * F.sin(theta), a * math.sqrt(c - n * q(40)) / n - rho * F.cos(theta)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.scalars import block_id
 from freshet.operators.stations import group_folds
+from freshet.session import join_dictionary
 
 MISSING = -999.0
 
@@ -51,7 +52,7 @@ def forest(label: str, trees: int = 30) -> RandomForestRegressor:
 def spatial_cv(df: DataFrame, learner, folds: int = 5, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Out-of-fold predictions ``guess`` with folds made of whole 2-degree blocks, so no block is on both sides."""
     rows = df.withColumn("block", block_id(lat, lon)).filter(F.col("block").isNotNull())
-    rows = rows.join(F.broadcast(group_folds(rows, "block", folds)), "block").cache()
+    rows = join_dictionary(rows, group_folds(rows, "block", folds).select("block", "fold"), ["block"]).cache()
     present = sorted(r[0] for r in rows.select("fold").distinct().collect())  # at most ``folds`` numbers
 
     def one(k: int) -> DataFrame:

@@ -117,40 +117,46 @@ def _locate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from flush(True)
 
 
-def trapezoids_of_ring(ring: list[tuple[float, float]], slab: float) -> list[tuple[int, float, float, float, float, float, float]]:
-    """(slab number, y0, y1, left x at y0 and y1, right x at y0 and y1) of a simple polygon given as (x, y) vertices."""
-    pts = np.asarray(ring, dtype=float)
-    nxt = np.roll(pts, -1, axis=0)
-    ys = sorted({*pts[:, 1], *(k * slab for k in range(int(np.floor(pts[:, 1].min() / slab)) + 1, int(np.ceil(pts[:, 1].max() / slab))))})
+def trapezoids_of(rings: list[list[tuple[float, float]]], slab: float) -> list[tuple[float, float, float, float, float, float]]:
+    """(y0, y1, left x at y0 and y1, right x at y0 and y1) of a polygon given by the (x, y) vertices of its rings; what lies within an even number of rings is outside."""
+    starts, ends = [], []
+    for ring in rings:
+        pts = np.asarray(ring, dtype=float)
+        starts.append(pts)
+        ends.append(np.roll(pts, -1, axis=0))
+    a, b = np.concatenate(starts), np.concatenate(ends)
+    ys = np.unique(np.concatenate((a[:, 1], np.arange(np.floor(a[:, 1].min() / slab) + 1, np.ceil(a[:, 1].max() / slab)) * slab)))
     out = []
-    for y0, y1 in zip(ys, ys[1:]):
-        mid, cuts = (y0 + y1) / 2, []
-        for (ax, ay), (bx, by) in zip(pts, nxt):
-            if min(ay, by) < mid < max(ay, by):
-                at = lambda y: ax + (y - ay) / (by - ay) * (bx - ax)  # noqa: B023, E731
-                cuts.append((at(mid), at(y0), at(y1)))
-        cuts.sort()
-        out += [(int(np.floor(mid / slab)), y0, y1, a[1], a[2], b[1], b[2]) for a, b in zip(cuts[::2], cuts[1::2])]
+    for y0, y1 in zip(ys[:-1].tolist(), ys[1:].tolist()):
+        mid = (y0 + y1) / 2
+        cross = (np.minimum(a[:, 1], b[:, 1]) < mid) & (mid < np.maximum(a[:, 1], b[:, 1]))
+        p, q = a[cross], b[cross]
+        at = lambda y: p[:, 0] + (y - p[:, 1]) / (q[:, 1] - p[:, 1]) * (q[:, 0] - p[:, 0])  # noqa: B023, E731
+        order = np.argsort(at(mid), kind="stable")
+        low, high = at(y0)[order].tolist(), at(y1)[order].tolist()
+        out += [(y0, y1, low[k], high[k], low[k + 1], high[k + 1]) for k in range(0, len(low) - 1, 2)]
     return out
 
 
-_EDGES = "slab bigint, region_id string, y0 double, y1 double, left0 double, left1 double, right0 double, right1 double"
+_EDGES = "region_id string, y0 double, y1 double, left0 double, left1 double, right0 double, right1 double"
 
 
 def decompose(regions: DataFrame, slab: float = SLAB_DEG) -> DataFrame:
-    """Trapezoids of regions ``region_id, ring`` (ring: array of struct x, y; simple polygon; null, or fewer than three vertices, gives none)."""
+    """Trapezoids of regions ``region_id, ring`` (array of struct x, y) or ``region_id, rings`` (array of such: holes count as outside).
+
+    Rings are simple; null ones, and those of fewer than three vertices, give none.
+    """
+    column = "rings" if "rings" in regions.columns else "ring"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (t[0], rid, *t[1:])
-                for rid, ring in zip(pdf["region_id"], pdf["ring"])
-                if ring is not None and len(ring) > 2
-                for t in trapezoids_of_ring([(p["x"], p["y"]) for p in ring], slab)
-            ]
-            yield pd.DataFrame(rows, columns=["slab", "region_id", "y0", "y1", "left0", "left1", "right0", "right1"])
-
-    return regions.select("region_id", "ring").mapInPandas(run, _EDGES)
+            rows = []
+            for rid, shape in zip(pdf["region_id"], pdf[column]):
+                rings = [[(p["x"], p["y"]) for p in r] for r in ([] if shape is None else shape if column == "rings" else [shape]) if r is not None and len(r) > 2]
+                rows += [(rid, *t) for t in (trapezoids_of(rings, slab) if rings else [])]
+            yield pd.DataFrame(rows, columns=["region_id", "y0", "y1", "left0", "left1", "right0", "right1"])
+
+    return regions.select("region_id", column).mapInPandas(run, _EDGES)
 
 
 def locate(points: DataFrame, trapezoids: DataFrame, slab: float = SLAB_DEG, block: float = BLOCK_DEG, per_task: int = POINTS_PER_TASK, least_side: float = 0.0) -> DataFrame:

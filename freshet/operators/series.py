@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from freshet.operators.frequencies import numbered
+
 SERIES = ["station_id", "ion"]
+#: Rows of the total order that one window takes where trailing means run over series borders.
+STRETCH = 100_000
 
 
 def annual_means(df: DataFrame, keys: list[str] = SERIES, year: str = "year", value: str = "value") -> DataFrame:
@@ -28,18 +32,37 @@ def gather(annual: DataFrame, keys: list[str] = SERIES, year: str = "year", valu
     return annual.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(year).cast("int").alias("t"), F.col(value).alias("v")))).alias("points"))
 
 
-def pair_slopes(points: Column, transform=None) -> Column:
-    """Sorted slopes of all pairs of points with different times; ``transform`` is applied to the values first."""
-    f = transform or (lambda v: v)
+def pairs_of(points: Column, *measures) -> Column:
+    """Array of structs ``m0, m1, ...`` over all pairs of points with different times: each measure taken of (earlier, later, years between)."""
     n = F.size(points)
-    pairs = F.transform(
+    each = F.transform(
         F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: F.transform(
-            F.slice(points, i + 1, n),
-            lambda q: (f(q["v"]) - f(F.element_at(points, i)["v"])) / F.nullif((q["t"] - F.element_at(points, i)["t"]).cast("double"), F.lit(0.0)),
-        ),
+        lambda i: F.transform(F.slice(points, i + 1, n), lambda q: _pair(F.element_at(points, i), q, measures)),
     )
-    return F.array_sort(F.filter(F.flatten(pairs), lambda s: s.isNotNull()))
+    return F.filter(F.flatten(each), lambda s: s["years"] != 0)
+
+
+def _pair(p: Column, q: Column, measures) -> Column:
+    years = (q["t"] - p["t"]).cast("double")
+    return F.struct(years.alias("years"), *[m(p["v"], q["v"], F.nullif(years, F.lit(0.0))).alias(f"m{k}") for k, m in enumerate(measures)])
+
+
+def slope(a: Column, b: Column, years: Column) -> Column:
+    return (b - a) / years
+
+
+def log_slope(a: Column, b: Column, years: Column) -> Column:
+    return (F.log1p(b) - F.log1p(a)) / years
+
+
+def rise(a: Column, b: Column, years: Column) -> Column:
+    return F.signum(b - a).cast("int")
+
+
+def pair_slopes(points: Column, transform=None) -> Column:
+    """Sorted slopes of all pairs of points with different times; ``transform`` is applied to the values first."""
+    f = transform or (lambda v: v)
+    return F.array_sort(F.transform(pairs_of(points, lambda a, b, years: (f(b) - f(a)) / years), lambda s: s["m0"]))
 
 
 def middle(sorted_array: Column) -> Column:
@@ -49,22 +72,15 @@ def middle(sorted_array: Column) -> Column:
     return (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
 
 
-def kendall_s(points: Column) -> Column:
-    """Sum of the signs of all later minus earlier values."""
-    n = F.size(points)
-    rows = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: F.aggregate(F.slice(points, i + 1, n), F.lit(0), lambda a, q: a + F.signum(q["v"] - F.element_at(points, i)["v"]).cast("int")),
-    )
-    return F.aggregate(rows, F.lit(0), lambda a, x: a + x)
+def tie_counts(points: Column) -> Column:
+    """How often each distinct value occurs."""
+    values = F.transform(points, lambda p: p["v"])
+    return F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda x: x == v)).cast("bigint"))
 
 
-def tie_sums(points: Column) -> tuple[Column, Column, Column]:
-    """Sums over groups of equal values of t(t-1)/2, t(t-1)(t-2) and t(t-1)(2t+5)."""
-    values = F.transform(points, lambda p: p["v"])
-    counts = F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda x: x == v)))
-    total = lambda g: F.aggregate(F.transform(counts, g), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
-    return total(lambda t: F.expr("0") + t * (t - 1) / 2), total(lambda t: t * (t - 1) * (t - 2)), total(lambda t: t * (t - 1) * (2 * t + 5))
+def tie_sum(counts: Column, of) -> Column:
+    """Sum over groups of equal values of a polynomial of their size t, such as t(t-1)/2 or t(t-1)(2t+5)."""
+    return F.aggregate(F.transform(counts, lambda t: of(t).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
 @lru_cache(maxsize=64)
@@ -125,16 +141,17 @@ def station_trends(annual: DataFrame, keys: list[str] = SERIES, min_years: int =
     """
     g = gather(annual, keys).filter(F.size("points") >= min_years)
     p = F.col("points")
-    _, _, y1 = tie_sums(p)
-    ytie = tie_sums(p)[0]
+    # The pairs are formed once, for both slopes and the signs.
+    g = g.withColumn("__pairs", pairs_of(p, slope, log_slope, rise)).withColumn("__ties", tie_counts(p))
+    column = lambda k: F.transform("__pairs", lambda s: s[f"m{k}"])
     g = g.select(
         *keys, F.size(p).alias("n_year_obs"), F.element_at(p, -1)["t"].alias("base_year"), middle(F.array_sort(F.transform(p, lambda x: x["v"]))).alias("median_mgL"),
-        middle(pair_slopes(p)).alias("slope_mgL_yr"), pair_slopes(p, F.log1p).alias("__s"), kendall_s(p).alias("mk_s"), recent_level(p).alias("base_level"),
-        ytie.alias("__ytie"), y1.alias("__y1"),
+        F.array_sort(column(0)).alias("__r"), F.array_sort(column(1)).alias("__s"), F.aggregate(column(2), F.lit(0), lambda a, x: a + x).alias("mk_s"), recent_level(p).alias("base_level"),
+        tie_sum(F.col("__ties"), lambda t: t * (t - 1) / 2).alias("__ytie"), tie_sum(F.col("__ties"), lambda t: t * (t - 1) * (2 * t + 5)).alias("__y1"),
     )
     low, high = bound_ranks(F.col("n_year_obs"), F.col("__y1"))
     out = g.select(
-        *keys, "n_year_obs", "base_year", "median_mgL", "slope_mgL_yr", middle(F.col("__s")).alias("slope_log_yr"),
+        *keys, "n_year_obs", "base_year", "median_mgL", middle(F.col("__r")).alias("slope_mgL_yr"), middle(F.col("__s")).alias("slope_log_yr"),
         F.try_element_at("__s", low).alias("slope_log_lo"), F.try_element_at("__s", high).alias("slope_log_hi"), "mk_s", "base_level", "__ytie", "__y1",
     )
     if with_p:
@@ -145,8 +162,8 @@ def station_trends(annual: DataFrame, keys: list[str] = SERIES, min_years: int =
 def features(annual: DataFrame, keys: list[str] = SERIES, year: str = "year", value: str = "value", compat: bool = False) -> DataFrame:
     """log1p value, lags 1 to 3 by row, trailing means of 3 and 5 earlier rows, years seen, and the slope over all earlier rows.
 
-    Only strictly earlier rows enter. ``compat`` lets the trailing means run over series borders as in a whole-frame
-    rolling mean; that needs one global order and is meant for comparisons on small tables only.
+    Only strictly earlier rows enter. ``compat`` lets the trailing means run over series borders, as a rolling mean over the
+    whole frame does: rows are numbered in their total order, and the last rows of each stretch are copied to the next.
     """
     w = Window.partitionBy(*keys).orderBy(year)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -154,13 +171,15 @@ def features(annual: DataFrame, keys: list[str] = SERIES, year: str = "year", va
     for k in (1, 2, 3):
         a = a.withColumn(f"lag{k}", F.lag("log_value", k).over(w))
     if compat:
-        whole = Window.orderBy(*keys, year)
-        roll = {k: F.avg("lag1").over(whole.rowsBetween(-(k - 1), 0)) for k in (3, 5)}
+        a = numbered(a, [*keys, year], "__k")
+        home = F.floor(F.col("__k") / STRETCH)
+        a = a.withColumn("__home", home).withColumn("__part", F.explode(F.array_distinct(F.array(home, F.floor((F.col("__k") + 4) / STRETCH)))))
+        whole = Window.partitionBy("__part").orderBy("__k")
+        a = a.withColumns({f"roll{k}": F.avg("lag1").over(whole.rowsBetween(-(k - 1), 0)) for k in (3, 5)}).filter(F.col("__part") == F.col("__home")).drop("__k", "__home", "__part")
     else:
-        roll = {k: F.avg("log_value").over(w.rowsBetween(-k, -1)) for k in (3, 5)}
-    a = a.withColumns({f"roll{k}": c for k, c in roll.items()})
+        a = a.withColumns({f"roll{k}": F.avg("log_value").over(w.rowsBetween(-k, -1)) for k in (3, 5)})
     slope = F.when(F.count("*").over(past) >= 3, F.expr(f"regr_slope(log_value, {year}) over (partition by {', '.join(keys)} order by {year} rows between unbounded preceding and 1 preceding)"))
-    return a.withColumn("years_seen", F.row_number().over(w) - 1).withColumn("year_c", F.col(year)).withColumn("trail_slope", slope)
+    return a.withColumn("years_seen", F.row_number().over(w) - 1).withColumn("year_c", F.col(year) - 2000).withColumn("trail_slope", slope)
 
 
 def temporal_split(features_df: DataFrame, train_end: int = 2013, valid_end: int = 2017, year: str = "year") -> DataFrame:

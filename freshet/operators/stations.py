@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.functions.scalars import ION_KEYS, bounded_ratio, clip, haversine_km, project, project_policy, safe_ratio, season, shift_climate
-from freshet.operators.proximity import near_spots, spots_of
+from freshet.functions.scalars import EARTH_KM, ION_KEYS, bounded_ratio, clip, haversine_km, project, project_policy, safe_ratio, season, shift_climate, yearly_precipitation
+from freshet.operators.proximity import disc_trapezoids, locate, near_spots, spots_of
 from freshet.operators.series import gather, middle, pair_slopes
 from freshet.session import join_dictionary, reliable_checkpoint
 
 THRESHOLDS = [120.0, 230.0, 860.0]
-#: Points of a climate grid that are broadcast and searched as one array.
-MOST_GRID = 10_000
 
 
 def seasonal_means(df: DataFrame, min_obs: int = 8, ts: str = "ts", value: str = "value") -> DataFrame:
@@ -120,28 +122,51 @@ def grid_near_stations(grid: DataFrame, places: DataFrame, reach: float = 5.0) -
 def grid_interpolate(places: DataFrame, grid: DataFrame, values: list[str], step: float = 3.0) -> DataFrame:
     """Grid values at stations (``id, lat, lon``): bilinear where all four corners hold a value, else that of the nearest grid point with one.
 
-    The grid is a fixed lattice of a few hundred points (more than ``MOST_GRID`` are refused), so it is broadcast, and the
-    nearest point is sought in one array of it. A place without a position gives nulls.
+    Each place meets its four lattice cells by equi-join. The places that lack a corner, and they alone, look in growing
+    rings of cells; a hit counts once nothing outside the ring can be nearer. Ties go to the lower latitude, then
+    longitude. A place without a position gives nulls.
     """
-    if grid.limit(MOST_GRID + 1).count() > MOST_GRID:
-        raise ValueError(f"more than {MOST_GRID} grid points")
-    lat0, lon0 = grid.agg(F.min("latitude")).scalar(), grid.agg(F.min("longitude")).scalar()
+    lat0, lon0, lat1, lon1, rows = grid.agg(F.min("latitude"), F.min("longitude"), F.max("latitude"), F.max("longitude"), F.count("*")).first()
+    if not rows:
+        return places.select("id", *[F.lit(None).cast("double").alias(v) for v in values])
+    places = reliable_checkpoint(places.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
     p = places.select("id", "lat", "lon", ((F.col("lat") - lat0) / step).alias("ty"), ((F.col("lon") - lon0) / step).alias("tx"))
     p = p.withColumns({"iy": F.floor("ty"), "ix": F.floor("tx")}).withColumns({"fy": F.col("ty") - F.col("iy"), "fx": F.col("tx") - F.col("ix")})
-    g = grid.select(F.round((F.col("latitude") - lat0) / step).cast("bigint").alias("gy"), F.round((F.col("longitude") - lon0) / step).cast("bigint").alias("gx"), *values)
+    near = lambda c, low: F.round((F.col(c) - low) / step).cast("bigint")
+    g = reliable_checkpoint(grid.select(near("latitude", lat0).alias("gy"), near("longitude", lon0).alias("gx"), F.col("latitude").alias("glat"), F.col("longitude").alias("glon"), *values))
     side = lambda f, k: F.col(f) if k else 1 - F.col(f)
     corners = F.explode(F.array(*[F.struct((F.col("iy") + a).alias("gy"), (F.col("ix") + b).alias("gx"), (side("fy", a) * side("fx", b)).alias("w")) for a in (0, 1) for b in (0, 1)]))
-    c = p.select("id", "lat", "lon", corners.alias("c")).select("id", "lat", "lon", "c.*").join(F.broadcast(g), ["gy", "gx"], "left")
-    linear = c.groupBy("id", "lat", "lon").agg(*[F.when(F.count(v) == 4, F.sum(F.col(v) * F.col("w"))).alias(v) for v in values])
-    # One row with the whole grid as an array, attached to every place by a constant key.
-    points = grid.agg(F.collect_list(F.struct("latitude", "longitude", *values)).alias("points")).withColumn("one", F.lit(1))
-    linear = linear.withColumn("one", F.lit(1)).join(F.broadcast(points), "one", "left")
-
-    def nearest(v: str):
-        ranked = F.transform(F.filter("points", lambda q: q[v].isNotNull()), lambda q: F.struct(haversine_km(F.col("lat"), F.col("lon"), q["latitude"], q["longitude"]).alias("km"), q["latitude"], q["longitude"], q[v].alias("v")))
-        return F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.array_min(ranked)["v"])
-
-    return linear.select("id", *[F.coalesce(F.col(v), nearest(v)).alias(v) for v in values])
+    c = join_dictionary(p.select("id", corners.alias("c")).select("id", "c.*"), g, ["gy", "gx"], "left")
+    out = reliable_checkpoint(c.groupBy("id").agg(*[F.when(F.count(v) == 4, F.sum(F.col(v) * F.col("w"))).alias(v) for v in values]))
+    for v in values:
+        found = _nearest(places.join(out.filter(F.col(v).isNull()).select("id"), "id", "left_semi"), g.filter(F.col(v).isNotNull()).select("gy", "gx", "glat", "glon", F.col(v).alias("v")), lat0, lon0, lat1, lon1, step)
+        out = out.join(found.select("id", F.col("v").alias("__near")), "id", "left").withColumn(v, F.coalesce(v, "__near")).drop("__near")
+    return places.select("id").join(out, "id", "left").select("id", *values)
+
+
+def _nearest(places: DataFrame, cells: DataFrame, lat0: float, lon0: float, lat1: float, lon1: float, step: float) -> DataFrame:
+    """``id, v`` of the nearest cell of a lattice for each place, by rings that double until no cell outside can be nearer."""
+    rest = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    span = rest.agg(F.max(F.greatest(F.abs(F.col("lat") - lat0), F.abs(F.col("lat") - lat1), F.abs(F.col("lon") - lon0), F.abs(F.col("lon") - lon1)))).first()[0]
+    if span is None:
+        return rest.select("id", F.lit(None).cast("double").alias("v"))
+    done: list[DataFrame] = []
+    reach, last = 1, int(span / step) + 2
+    while True:
+        ring = F.sequence(F.lit(-reach), F.lit(reach))
+        asked = rest.withColumn("dy", F.explode(ring)).withColumn("dx", F.explode(ring))
+        asked = asked.select("id", "lat", "lon", (F.round((F.col("lat") - lat0) / step).cast("bigint") + F.col("dy")).alias("gy"), (F.round((F.col("lon") - lon0) / step).cast("bigint") + F.col("dx")).alias("gx"))
+        met = join_dictionary(asked, cells, ["gy", "gx"]).withColumn("km", haversine_km("lat", "lon", "glat", "glon"))
+        best = met.groupBy("id", "lat").agg(F.min_by(F.struct("v", "km"), F.struct("km", "glat", "glon")).alias("b")).select("id", "lat", "b.v", "b.km")
+        # What lies outside the ring is off by this many degrees at least, in latitude or in longitude.
+        off = F.radians(F.lit(min((reach + 0.5) * step, 90.0)))
+        sure = F.least(off, F.asin(F.sin(off) * F.cos(F.radians("lat")))) * EARTH_KM
+        best = reliable_checkpoint(best.filter(F.lit(reach >= last) | (F.col("km") <= sure)))
+        done.append(best.select("id", "v"))
+        rest = rest.join(best.select("id"), "id", "left_anti")
+        if reach >= last or rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        reach = min(2 * reach, last)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,23 +211,61 @@ def proximity_clusters(places: DataFrame, threshold_km: float = 1.0) -> DataFram
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """``group, n, fold``: groups by size descending (then name), each into the fold with the fewest rows so far.
 
-    Runs on the driver over group sizes; spatial blocks of a continent are a few hundred, and more than 100,000 are refused.
+    The rule is a chain: each choice rests on all before it. So the group sizes, not the rows, are sorted by all tasks and
+    then pass through one task as a stream, of which only the loads of the folds are kept.
     """
-    sizes = df.groupBy(group).count().orderBy(F.desc("count"), group).limit(100_001).collect()
-    if len(sizes) > 100_000:
-        raise ValueError("more than 100,000 groups")
-    load, rows = [0] * folds, []
-    for r in sizes:
-        k = min(range(folds), key=lambda i: (load[i], i))
-        load[k] += r["count"]
-        rows.append((r[0], r["count"], k))
-    return df.sparkSession.createDataFrame(rows, f"{group} string, n bigint, fold int")
+    kind = df.schema[group].dataType.simpleString()
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        load = [0] * folds
+        for pdf in batches:
+            out = []
+            for n in pdf["n"].tolist():
+                k = min(range(folds), key=lambda i: (load[i], i))
+                load[k] += n
+                out.append(k)
+            yield pdf.assign(fold=pd.Series(out, dtype="int32"))
+
+    sizes = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group)
+    return sizes.coalesce(1).mapInPandas(assign, f"`{group}` {kind}, n bigint, fold int")
 
 
 def z_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Scores across all rows of a small table (cluster centres), with the sample deviation."""
-    w = Window.partitionBy(F.lit(0))
-    return df.withColumns({f"z_{c}": (F.col(c) - F.avg(c).over(w)) / (F.stddev_samp(c).over(w) + 1e-9) for c in columns})
+    """Scores across all rows (cluster centres), with the sample deviation."""
+    s = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("spread", F.stddev_samp))]).first()
+    return df.withColumns({f"z_{c}": (F.col(c) - F.lit(s[f"mean_{c}"])) / (F.lit(s[f"spread_{c}"]) + 1e-9) for c in columns})
+
+
+def values_within(places: DataFrame, cells: DataFrame, values: list[str], radius_km: float) -> DataFrame:
+    """Buffer means: per place (``id, lat, lon``) the mean of each value, and the count, of the cells (``cell_id, lat, lon``) at most ``radius_km`` away.
+
+    Null values do not count; a place with no cell near has nulls and 0.
+    """
+    centres = places.select(F.col("id").alias("region_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    points = cells.select(F.col("cell_id").alias("point_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    hits = locate(points, disc_trapezoids(centres, radius_km)).select("region_id", "point_id")
+    met = hits.join(cells.select(F.col("cell_id").alias("point_id"), *values), "point_id")
+    means = met.groupBy(F.col("region_id").alias("__id")).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("n_cells"))
+    return places.select("id").join(means, F.col("id") == F.col("__id"), "left").select("id", *values, F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
+
+
+def climate_deltas(rows: DataFrame, base: str, scenarios: dict[str, tuple[int, int]], base_years: tuple[int, int], key: str = "cell") -> DataFrame:
+    """``model, key, scenario, dtemp, dprecip`` from ``model, scenario, key, year, temp, precip_flux``: mean of the scenario's years less that of the base years.
+
+    Precipitation flux (kg per square metre and second) becomes millimetres a year. A model without both periods gives no row.
+    """
+    flux = yearly_precipitation("precip_flux")
+    of = lambda name, years: (F.col("scenario") == name) & F.col("year").between(*years)
+    periods = [F.when(of(base, base_years), F.lit("__base"))] + [F.when(of(s, y), F.lit(s)) for s, y in scenarios.items()]
+    means = rows.withColumn("__period", F.coalesce(*periods)).filter(F.col("__period").isNotNull()).groupBy("model", key, "__period").agg(F.avg("temp").alias("t"), F.avg(flux).alias("p"))
+    wide = means.groupBy("model", key).pivot("__period", ["__base", *scenarios]).agg(F.first("t").alias("t"), F.first("p").alias("p"))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), (F.col(f"{s}_t") - F.col("__base_t")).alias("dtemp"), (F.col(f"{s}_p") - F.col("__base_p")).alias("dprecip")) for s in scenarios]))
+    return wide.select("model", key, each.alias("d")).select("model", key, "d.*").filter(F.col("dtemp").isNotNull() | F.col("dprecip").isNotNull())
+
+
+def model_mean(deltas: DataFrame, key: str = "cell") -> DataFrame:
+    """Mean over the models of each scenario's deltas; a model that lacks one is left out of that mean alone."""
+    return deltas.groupBy(key, "scenario").agg(F.avg("dtemp").alias("dtemp"), F.avg("dprecip").alias("dprecip"), F.countDistinct("model").alias("n_models"))
 
 
 def resume_remaining(units: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -42,12 +42,13 @@ _CLOCK = r"(?<hour@>\d{1,2}):(?<minute@>\d{2})(?::(?<sec@>\d{2})(?:[.,]\d+)?)?(?
 BRANCHES = (
     r"(?<year@>\d{4})(?<mark@>[-/.])(?<month@>\d{1,2})\k<mark@>(?<day@>\d{1,2})(?:(?:T|\s+)" + _CLOCK + ")?",
     r"(?<first@>\d{1,2})/(?<second@>\d{1,2})/(?<year@>\d{4})(?:\s+" + _CLOCK + ")?",
-    r"(?<year@>(?:19|20)\d{2})(?<month@>\d{2})(?<day@>\d{2})(?:[T ]?(?<hour@>\d{2}):?(?<minute@>\d{2})(?::?(?<sec@>\d{2}))?)?",
-    r"(?<epoch@>\d{9,10}|\d{12,13})",
+    r"(?<day@>\d{1,2})\.(?<month@>\d{1,2})\.(?<year@>\d{4})(?:\s+" + _CLOCK + ")?",
+    r"(?<year@>(?:19|20)\d{2})(?<month@>\d{2})(?<day@>\d{2})(?:[T ]?(?<hour@>\d{2}):?(?<minute@>\d{2})(?::?(?<sec@>\d{2}))?(?:\s*(?<zone@>" + _ZONE + "))?)?",
+    r"(?<epoch@>\d{9,10}|\d{12,13}|\d{16})",
     r"(?<day@>\d{1,2})-(?<name@>\p{L}{3,9})-(?<year@>\d{4}|\d{2})(?:\s+" + _CLOCK + ")?",
     r"(?:\p{L}{3,9},\s*)?(?<day@>\d{1,2})\s+(?<name@>\p{L}{3,9})\.?\s+(?<year@>\d{4})(?:\s+" + _CLOCK + ")?",
     r"(?<day@>\d{1,2})\s+(?<name@>\p{L}{3,9})\.?\s+(?<year@>\d{4})\s+(?<hour@>\d{1,2})\s*h\s*(?<minute@>\d{2})?",
-    r"(?<name@>\p{L}{3,9})\.?\s+(?<day@>\d{1,2}),\s*(?<year@>\d{4})(?:\s+" + _CLOCK + ")?",
+    r"(?<name@>\p{L}{3,9})\.?\s+(?<day@>\d{1,2})(?:,\s*|\s+)(?<year@>\d{4})(?:\s+" + _CLOCK + ")?",
 )
 
 
@@ -138,7 +139,7 @@ def normalize_timestamps(df: DataFrame, text_col: str, zone_col: str | None = No
         F.coalesce(num("sec"), F.lit(0)).alias("__s"),
         F.lower(part("half")).alias("__half"),
         part("zone").alias("__z"),
-        F.when(part("epoch") != "", F.when(F.length(part("epoch")) >= 12, F.expr(f"try_cast(__c[{PARTS.index('epoch') + 1}] as bigint) div 1000")).otherwise(part("epoch").try_cast("bigint"))).alias("__epoch"),
+        F.when(part("epoch") != "", F.when(F.length(part("epoch")) >= 12, F.expr(f"try_cast(__c[{PARTS.index('epoch') + 1}] as bigint) div if(length(__c[{PARTS.index('epoch') + 1}]) = 16, 1000000, 1000)")).otherwise(part("epoch").try_cast("bigint"))).alias("__epoch"),
         ((F.size("__c") == len(PARTS) + 1) & (F.get("__c", F.lit(0)) == "")).alias("__read"),
     )
     leap = "(__y % 4 = 0 and (__y % 100 <> 0 or __y % 400 = 0))"

@@ -22,8 +22,10 @@ from freshet.session import join_dictionary
 MAX_COST = 0.75
 #: Share of bigrams (Dice) from which a known text becomes a candidate.
 MIN_OVERLAP = 0.5
-#: Words of a name text that a unit written inside it may span.
+#: Words of a name text that a unit written inside it may span: one more than the longest known text has.
 MAX_WORDS = 4
+#: Cost of the cheapest edit of a character that is no blank.
+CHEAPEST = 0.15
 
 # Known unit texts by (basis, factor). mass factors give ug/L, molar ones umol/L, charge ones ueq/L.
 KNOWN: dict[tuple[str, float], str] = {
@@ -88,6 +90,7 @@ class UnitIndex:
     def __init__(self, known: dict[tuple[str, float], str] = KNOWN):
         self.texts = [(alias.strip(), kind, factor) for (kind, factor), line in known.items() for alias in line.split(";")]
         self.grams = [_bigrams(t) for t, _, _ in self.texts]
+        self.sizes = [len(_plain(t)) for t, _, _ in self.texts]
         self.index: dict[str, list[int]] = defaultdict(list)
         for k, grams in enumerate(self.grams):
             for g in grams:
@@ -95,18 +98,20 @@ class UnitIndex:
 
     @lru_cache(maxsize=100_000)  # noqa: B019
     def best(self, spelling: str, most: float = MAX_COST) -> tuple[float, str, str, float] | None:
-        """(cost, known text, basis, factor) of the cheapest known text within ``most``; ties go to the earlier one."""
-        spelling = spelling.strip()
-        if len(spelling) > 60:
-            return None
-        grams = _bigrams(spelling)
+        """(cost, known text, basis, factor) of the cheapest known text within ``most``; ties go to the earlier one.
+
+        Runs of blanks count as one. Texts of any length are looked up: one that is longer than a known text by more
+        than ``most`` allows at the cheapest edit is told apart by its length.
+        """
+        spelling = " ".join(spelling.split())
+        grams, size = _bigrams(spelling), len(_plain(spelling))
         shared: dict[int, int] = defaultdict(int)
         for g in grams:
             for k in self.index.get(g, ()):
                 shared[k] += 1
         found = None
         for k, n in shared.items():
-            if 2 * n < MIN_OVERLAP * (len(grams) + len(self.grams[k])):
+            if 2 * n < MIN_OVERLAP * (len(grams) + len(self.grams[k])) or abs(size - self.sizes[k]) * CHEAPEST > most:
                 continue
             cost = weighted_distance(spelling, self.texts[k][0], most)
             if cost <= most and (found is None or (cost, k) < (found[0], found[4])):
@@ -114,14 +119,14 @@ class UnitIndex:
         return found and found[:4]
 
     def inside(self, text: str) -> tuple[float, str, str, float] | None:
-        """The unit written at the start or the end of a name text: concentrations first, then the longest span of words, then the least cost."""
+        """The unit written anywhere in a name text: concentrations first, then the longest span of words, then one at an end, then the least cost."""
         words = text.replace("[", " ").replace("]", " ").replace("(", " ").replace(")", " ").split()
         hits = []
         for n in range(1, min(MAX_WORDS, len(words)) + 1):
-            for span in (words[-n:], words[:n]):
-                if hit := self.best(" ".join(span).strip(" ,;-"), 0.5):
-                    hits.append((hit[2] == "none", -n, hit))
-        return min(hits)[2] if hits else None
+            for at in range(len(words) - n + 1):
+                if hit := self.best(" ".join(words[at : at + n]).strip(" ,;-"), 0.5):
+                    hits.append((hit[2] == "none", -n, 0 < at < len(words) - n, hit[0], hit))
+        return min(hits)[4] if hits else None
 
 
 def _mapper(inside: bool):

@@ -21,7 +21,7 @@ FORMS: tuple[tuple[str, tuple[str, ...]], ...] = (
     (rf"(\d{{1,2}})-(\p{{L}}{{3,9}})-(\d{{4}}|\d{{2}})(?:\s+{_TIME})?", ("dd", "word", "yy", *_HMS)),
     (rf"(?:\p{{L}}{{3,9}},\s*)?(\d{{1,2}})\s+(\p{{L}}{{3,9}})\.?\s+(\d{{4}})(?:\s+{_TIME})?", ("dd", "word", "yy", *_HMS)),
     (r"(\d{1,2})\s+(\p{L}{3,9})\.?\s+(\d{4})\s+(\d{1,2})\s*h\s*(\d{2})?", ("dd", "word", "yy", "hh", "mi")),
-    (rf"(\p{{L}}{{3,9}})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})(?:\s+{_TIME})?", ("word", "dd", "yy", *_HMS)),
+    (rf"(\p{{L}}{{3,9}})\.?\s+(\d{{1,2}})(?:,\s*|\s+)(\d{{4}})(?:\s+{_TIME})?", ("word", "dd", "yy", *_HMS)),
 )
 # First letters that tell the month, English and French, without accents; juin and juil before the rest.
 _MONTHS = (("jan", 1), ("fe", 2), ("mar", 3), ("av", 4), ("ap", 4), ("may", 5), ("mai", 5), ("juin", 6), ("jun", 6), ("juil", 7), ("jul", 7), ("ao", 8), ("aug", 8), ("se", 9), ("oct", 10), ("nov", 11), ("dec", 12))

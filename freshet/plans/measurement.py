@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions import scalars as S
-from freshet.operators import harmonize, models, proximity, series, stations, timestamps, unit_aliases
+from freshet.operators import frequencies, harmonize, models, proximity, series, stations, timestamps, unit_aliases
 from freshet.plans import base_sql
 from freshet.sources.tables import nan_to_null, table
 
@@ -156,7 +156,7 @@ def fraction_map(spark, d):
     return table(spark, d, "harmonize").groupBy(S.fraction_class("fraction").alias("fraction_class")).agg(F.count("*").alias("n"))
 
 
-_UNIT = "CASE WHEN unit_source IS NULL THEN '' WHEN lower(trim(unit_source)) IN ('mg/l', 'ppm') THEN 'mg/L' WHEN lower(trim(unit_source)) IN ('ug/l', 'µg/l', 'ppb') THEN 'ug/L' WHEN lower(trim(unit_source)) = 'meq/l' THEN 'meq/L' WHEN lower(trim(unit_source)) = 'mmol/l' THEN 'mmol/L' WHEN lower(trim(unit_source)) IN ('mol/m3', 'mol/m^3') THEN 'mol/m3' ELSE trim(unit_source) END"
+_UNIT = "CASE WHEN unit_source IS NULL THEN '' WHEN lower(trim(unit_source)) IN ('mg/l', 'milligram per liter', 'ppm') THEN 'mg/L' WHEN lower(trim(unit_source)) IN ('ug/l', 'µg/l', 'ppb') THEN 'ug/L' WHEN lower(trim(unit_source)) = 'meq/l' THEN 'meq/L' WHEN lower(trim(unit_source)) = 'mmol/l' THEN 'mmol/L' WHEN lower(trim(unit_source)) IN ('mol/m3', 'mol/m^3') THEN 'mol/m3' ELSE trim(unit_source) END"
 _FACTOR = "CASE WHEN r.ion IS NULL THEN NULL WHEN u = 'mg/L' THEN 1.0 WHEN u = 'ug/L' THEN 0.001 WHEN u = 'meq/L' THEN r.equiv_weight WHEN u IN ('mmol/L', 'mol/m3') THEN r.molar_mass END"
 _UNITS = f"x AS (SELECT h.*, {_UNIT} AS u FROM h), y AS (SELECT x.*, {_FACTOR} AS f FROM x LEFT JOIN ion_ref r ON x.ion = r.ion)"
 
@@ -609,8 +609,7 @@ def ion_one_hot(spark, d):
 @query("SELECT station_id FROM (SELECT station_id, row_number() OVER (ORDER BY station_id) AS k FROM (SELECT DISTINCT station_id FROM cmip6_deltas)) WHERE (k - 1) % 7 = 0")
 def stride_sample(spark, d):
     """Every seventh station in order of id (a sampling operator)."""
-    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("station_id"))  # a station list, distinct ids only
-    return table(spark, d, "cmip6_deltas").select("station_id").distinct().withColumn("k", k - 1).filter("k % 7 = 0").select("station_id")
+    return frequencies.numbered(table(spark, d, "cmip6_deltas").select("station_id").distinct(), ["station_id"]).filter("k % 7 = 0").select("station_id")
 
 
 # ---- report data ---------------------------------------------------------------------------------------------------

@@ -24,6 +24,8 @@ def build_session(app: str = "freshet", cores: int | None = None, shuffle_partit
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Written intermediate results go when the frames that read them are gone.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }.items():
         b = b.config(k, v)
@@ -35,14 +37,16 @@ def build_session(app: str = "freshet", cores: int | None = None, shuffle_partit
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a local
-    folder is set.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local master gets a folder of its own; on a
+    cluster, where no machine's own folder would do, it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "freshet-checkpoints")
-        sc.setCheckpointDir(where)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder for intermediate results")
+        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "freshet-checkpoints"))
     return df.checkpoint(eager=True)
 
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
@@ -34,35 +33,41 @@ def _head(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
         stream.close()
 
 
-def sniff(head: bytes, separators: tuple[str, ...] = (",", ";", "\t", "|")) -> tuple[str, str]:
-    """(encoding, separator): the first encoding that reads the head, and the separator most frequent in its first line."""
-    cut = head[: head.rfind(b"\n") + 1] or head
-    encoding = next(e for e in ENCODINGS if _reads(cut, e))
-    line = cut.decode(encoding).splitlines()[0] if cut else ""
-    best = max(separators, key=lambda s: (line.count(s), -separators.index(s)))
-    return encoding, best
+def separator_of(head: bytes, encoding: str = "utf-8", separators: tuple[str, ...] = (",", ";", "\t", "|")) -> str:
+    """The separator most frequent in the first line."""
+    line = head.split(b"\n", 1)[0].decode(encoding, "replace")
+    return max(separators, key=lambda s: (line.count(s), -separators.index(s)))
 
 
-def _reads(data: bytes, encoding: str) -> bool:
-    try:
-        data.decode(encoding)
-        return True
-    except UnicodeDecodeError:
-        return False
+def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a path by the first encoding that reads them whole: utf-8, cp1252 (without its five undefined bytes), latin-1.
+
+    Every line of every file is judged where it lies, in one aggregate per file; the text source keeps the bytes as they are.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    fine = F.is_valid_utf8("value")
+    undefined = ~fine & F.hex(F.col("value").cast("binary")).rlike("^(?:..)*(?:81|8D|8F|90|9D)")
+    rows = lines.groupBy("file").agg(F.min(fine).alias("fine"), F.max(undefined).alias("undefined")).collect()  # a row per file
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows):
+        out.setdefault("utf-8" if r.fine else "latin-1" if r.undefined else "cp1252", []).append(r.file)
+    return out
 
 
-def read_text_table(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, skip_bad: bool = False) -> DataFrame:
-    """A delimited table with every column as text. Encoding and separator are probed on the first bytes where not given.
+def read_text_table(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None) -> DataFrame:
+    """A delimited table with every column as text. Encoding and separator are found where not given: the encoding of each
+    file by reading all of it, the separator in the first line.
 
-    The probe reads one head on the driver; the data itself is read and split by the executors. ``skip_bad`` drops
-    records with the wrong number of fields, otherwise they are padded or cut.
+    Records with the wrong number of fields are padded or cut; ``records.load_records`` sets them apart with the reason.
     """
-    if encoding is None or separator is None:
-        e, s = sniff(_head(spark, path))
-        encoding, separator = encoding or e, separator or s
-    mode = "DROPMALFORMED" if skip_bad else "PERMISSIVE"
-    df = spark.read.options(header=True, inferSchema=False, sep=separator, encoding=_JAVA.get(encoding, encoding), mode=mode, enforceSchema=False, columnPruning=not skip_bad).csv(path)
-    names = [c.replace("﻿", "").strip() for c in df.columns]
+    separator = separator or separator_of(_head(spark, path))
+    groups = {encoding: [path]} if encoding else encodings(spark, path) or {"utf-8": [path]}
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_read_as(spark, files, e, separator) for e, files in groups.items()])
+
+
+def _read_as(spark: SparkSession, files: list[str], encoding: str, separator: str) -> DataFrame:
+    df = spark.read.options(header=True, inferSchema=False, sep=separator, encoding=_JAVA.get(encoding, encoding), enforceSchema=False).csv(files)
+    names = [c.replace("\ufeff", "").strip() for c in df.columns]
     if encoding != "cp1252":
         return df.toDF(*names)
     old, new = "".join(_CP1252), "".join(_CP1252.values())
@@ -71,8 +76,18 @@ def read_text_table(spark: SparkSession, path: str, encoding: str | None = None,
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Column names without reading the table."""
-    encoding, separator = sniff(_head(spark, path))
-    return [c.strip().strip('"') for c in _head(spark, path).decode(encoding, "replace").splitlines()[0].split(separator)]
+    head = _head(spark, path)
+    line = head.split(b"\n", 1)[0]
+    encoding = next(e for e in ENCODINGS if _reads(line, e))
+    return [c.strip().strip('"') for c in line.decode(encoding).strip().split(separator_of(head, encoding))]
+
+
+def _reads(data: bytes, encoding: str) -> bool:
+    try:
+        data.decode(encoding)
+        return True
+    except UnicodeDecodeError:
+        return False
 
 
 def read_parquet_union(spark: SparkSession, *paths: str) -> DataFrame:
@@ -85,17 +100,18 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str, property_name: str | None = None, leave_out: tuple[str, ...] = ()) -> DataFrame:
-    """``name, ring``: the outer ring of each polygon (array of struct x, y), without the named features."""
+    """``name, ring, rings``: the outer ring of each polygon (array of struct x, y), and all its rings, holes included, without the named features."""
     schema = "features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
     f = spark.read.option("multiLine", "true").schema(schema).json(path).select(F.explode("features").alias("f"))
     name = F.try_element_at(F.col("f.properties"), F.lit(property_name or "name"))
     one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
     polygons = F.when(F.col("f.geometry.type") == "MultiPolygon", many).when(F.col("f.geometry.type") == "Polygon", F.array(one))
-    rings = f.select(name.alias("name"), F.explode(polygons).alias("p"))
+    parts = f.select(name.alias("name"), F.explode(polygons).alias("p"))
     if leave_out:
-        rings = rings.filter(F.col("name").isNull() | ~F.col("name").isin(*leave_out))
-    return rings.select("name", F.transform(F.col("p")[0], lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))).alias("ring"))
+        parts = parts.filter(F.col("name").isNull() | ~F.col("name").isin(*leave_out))
+    rings = F.transform("p", lambda ring: F.transform(ring, lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))))
+    return parts.select("name", rings[0].alias("ring"), rings.alias("rings"))
 
 
 def row_count_from_footers(spark: SparkSession, path: str) -> int:
@@ -137,22 +153,53 @@ def sample_rows(df: DataFrame, order: list[str], n: int = 2000) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def find_data(name: str, *folders: str) -> str | None:
-    """The first folder that holds the file."""
-    return next((str(Path(f) / name) for f in folders if (Path(f) / name).exists()), None)
+def find_data(spark: SparkSession, name: str, *folders: str) -> str | None:
+    """The first folder, on whatever file system, that holds the file."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for f in folders:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{f}/{name}")
+        if p.getFileSystem(conf).exists(p):
+            return f"{f}/{name}"
+    return None
 
 
 def run_unit(spark: SparkSession, path: str, make: Callable[[], DataFrame | None], failed: bool = False) -> str:
     """Resumable unit of work: ``skipped`` where the folder holds a finished write, else writes it.
 
     A write counts as finished when Spark's _SUCCESS marker stands. ``empty`` leaves a finished empty folder, unless the
-    pull failed: then nothing is committed and the unit runs again (``failed``).
+    pull failed: then nothing stays and the unit runs again (``failed``). The rows are counted while they are written, so
+    the pull runs once.
     """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    fs = p.getFileSystem(conf)
+    if fs.exists(p):
         return "skipped"
     df = make()
-    if df is None or (df.isEmpty() and failed):
+    if df is None:
+        return "failed"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    if seen.get["n"]:
+        return "written"
+    if failed:
+        fs.delete(p.getParent(), True)
         return "failed"
-    df.write.mode("overwrite").parquet(path)
-    return "empty" if df.isEmpty() else "written"
+    return "empty"
+
+
+def run_phases(phases: dict[str, Callable[[], object]], wanted: tuple[str, ...] | None = None) -> list[tuple[str, str, str]]:
+    """(name, outcome, message) of each phase, run one after another: an error in one is recorded and the others still run.
+
+    ``wanted`` picks phases by name; the others are ``left out``.
+    """
+    out = []
+    for name, run in phases.items():
+        if wanted is not None and name not in wanted:
+            out.append((name, "left out", ""))
+            continue
+        try:
+            out.append((name, "done", str(run() or "")))
+        except Exception as e:  # noqa: BLE001
+            out.append((name, "failed", f"{type(e).__name__}: {e}"[:500]))
+    return out

@@ -223,6 +223,9 @@ def test_regions_hold_points(spark):
     df = spark.createDataFrame(pts, "point_id string, x double, y double")
     got = {tuple(r) for r in proximity.locate(df, proximity.decompose(regions, 0.5), 0.5, 1.0).select("point_id", "region_id").collect()}
     assert got == {("in", "tri"), ("border", "tri"), ("arm", "concave"), ("corner", "tri")}
+    holed = spark.createDataFrame([("ring", [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]])], "region_id string, rings array<array<struct<x: double, y: double>>>")
+    pts = spark.createDataFrame([("rim", 0.5, 2.0), ("hole", 2.0, 2.0), ("out", 5.0, 2.0), ("top", 2.0, 4.0), ("inner", 1.0, 2.0)], "point_id string, x double, y double")
+    assert {r.point_id for r in proximity.locate(pts, proximity.decompose(holed, 0.5), 0.5, 1.0, per_task=1).collect()} == {"rim", "top", "inner"}
 
 
 def test_usual_position(spark):
@@ -297,16 +300,45 @@ def _quoting_first(raw):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.text(alphabet='a,"\n é', min_size=1, max_size=6), st.sampled_from(["1", "", "-2.5e3", "x", ".5"])), min_size=1, max_size=6))
 def test_round_trip_of_written_records(rows):
-    out = io.StringIO()
-    csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL).writerows(("s", n, v) for n, v in rows)
-    found = records.split_records(out.getvalue().encode())
-    assert len(found) == len(rows)
+    found = []
+    for n, v in rows:
+        out = io.StringIO()
+        csv.writer(out, lineterminator="", quoting=csv.QUOTE_ALL).writerow(("s", n, v))
+        found.append(out.getvalue().encode())
     reasons, s = records.judge(found, [LAYOUT] * len(found))
     for i, (n, v) in enumerate(rows):
         assert s.fields[i] == 3 and s.field(i, 1).decode() == n and s.field(i, 2).decode() == v
         assert reasons[i] == _reason_brute(found[i].decode(), ",", 3, 1, 2)
 
 
+def test_files_are_loaded_whole_with_reasons(spark, tmp_path):
+    layouts = spark.createDataFrame([("a", ",", "station_id,characteristic_source,value_mg_L", 3)], "layout string, delimiter string, header string, n_fields int")
+    cells = lambda r: tuple(r.fields[c] for c in ("station_id", "characteristic_source", "value_mg_L"))
+    rng, rows = np.random.default_rng(6), []
+    for k in range(3000):
+        name = rng.choice(["Chloride", "a, b", 'say "x"', "two\nlines", "x\n\n,y", "é"])
+        rows.append((f"s{k}", str(name), str(rng.choice(["1", "2.5", ""]))))
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\r\n").writerows([("station_id", "characteristic_source", "value_mg_L"), *rows])
+    (tmp_path / "one.csv").write_text(out.getvalue(), newline="")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+        got = records.load_records(spark, str(tmp_path / "one.csv"), layouts, "a").collect()
+        assert len({r.line_no for r in got}) == len(got) == len(rows)
+        assert sum(r.reason is None for r in got) == sum("\n" not in n for _, n, _ in rows)  # a line end is a control character in a name
+        assert [cells(r) for r in sorted(got, key=lambda r: r.line_no) if r.reason is None] == [r for r in rows if "\n" not in r[1]]
+        text = 'station_id,characteristic_source,value_mg_L\ns1,"open,1\ns2,fine,2\n\ns3,"quoted, fine",3\ns4,short\ns5,fine,x\ns6,"a ""b""",6\n'
+        (tmp_path / "two.csv").write_text(text)
+        got = {r.line_no: (r.reason, r.fields and cells(r)) for r in records.load_records(spark, str(tmp_path / "two.csv"), layouts, "a").collect()}
+        want = {2: ("quoting", None), 3: (None, ("s2", "fine", "2")), 5: (None, ("s3", "quoted, fine", "3")), 6: ("column_count", None), 7: ("invalid_value", None), 8: (None, ("s6", 'a "b"', "6"))}
+        assert got == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_parse_records(spark):
     layouts = spark.createDataFrame([("a", ",", "station_id,characteristic_source,value_mg_L", 3), ("b", ";", "characteristic_source;value_mg_L", 2)], "layout string, delimiter string, header string, n_fields int")
     rows = [

@@ -28,10 +28,10 @@ def test_ion_and_fraction_names(spark):
 
 
 def test_units_and_audit(spark):
-    rows = [(500.0, "ug/L", "cl"), (10.0, "meq/L", "ca"), (1.0, "mmol/l ", "so4"), (2.0, "MOL/M3", "na"), (3.0, "ppm", "mg"), (1.0, "microgram per liter", "cl"), (1.0, "mg/l CaCO3", "alk"), (1.0, None, "cl"), (None, "mg/L", "cl")]
+    rows = [(500.0, "ug/L", "cl"), (10.0, "meq/L", "ca"), (1.0, "mmol/l ", "so4"), (2.0, "MOL/M3", "na"), (3.0, "ppm", "mg"), (1.0, "microgram per liter", "cl"), (4.0, "Milligram per liter", "cl"), (1.0, "mg/l CaCO3", "alk"), (1.0, None, "cl"), (None, "mg/L", "cl")]
     df = spark.createDataFrame(rows, "value_source double, unit_source string, ion string")
     got = [r[0] for r in values(harmonize.harmonize_units(df), "value_mg_L")]
-    assert got == pytest.approx([0.5, 200.39, 96.06, 45.98, 3.0])
+    assert got == pytest.approx([0.5, 200.39, 96.06, 45.98, 3.0, 4.0])
     assert {r.unit: (r.n_unsupported, r.n_no_number) for r in harmonize.unit_audit(df).collect()} == {"microgram per liter": (1, 0), "mg/l CaCO3": (1, 0), "": (1, 0), "mg/L": (0, 1)}
 
 
@@ -200,12 +200,20 @@ def test_source_layouts(spark):
 def test_files(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_bytes("Név;Wert\nété;1,5\nb;2\nbad\n".encode("cp1252", "replace"))
-    assert files.sniff(p.read_bytes()) == ("cp1252", ";")
+    assert files.encodings(spark, str(p)).keys() == {"cp1252"} and files.separator_of(p.read_bytes(), "cp1252") == ";"
     df = files.read_text_table(spark, str(p))
     assert len(df.columns) == 2 and df.first()[0] == "été"
     q = tmp_path / "b.csv"
     q.write_bytes("﻿x,y\n1,2\n3\n".encode())
-    assert files.read_text_table(spark, str(q)).columns == ["x", "y"] and files.read_text_table(spark, str(q), skip_bad=True).count() == 1 and files.header_of(spark, str(q)) == ["x", "y"]
+    assert files.read_text_table(spark, str(q)).columns == ["x", "y"] and files.read_text_table(spark, str(q)).count() == 2 and files.header_of(spark, str(q)) == ["x", "y"]
+    late = tmp_path / "late.csv"  # the one byte that tells the encoding stands far behind the start of the file
+    late.write_bytes(b"place,n\n" + b"plain,1\n" * 12_000 + "Montréal,2\n".encode("cp1252"))
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "a.csv").write_bytes(late.read_bytes())
+    (tmp_path / "mixed" / "b.csv").write_bytes("place,n\nQuébec,3\n".encode())
+    (tmp_path / "mixed" / "c.csv").write_bytes("place,n\nLévis\x81,4\n".encode("latin-1"))
+    assert files.read_text_table(spark, str(late)).filter("n = 2").first()[0] == "Montréal"
+    assert {r[0] for r in files.read_text_table(spark, str(tmp_path / "mixed")).filter("n > 1").collect()} == {"Montréal", "Québec", "Lévis\x81"}
     files.write_parquet(spark.range(5), str(tmp_path / "p1"))
     files.write_parquet(spark.range(3).withColumn("z", F.lit(1)), str(tmp_path / "p2"))
     u = files.read_parquet_union(spark, str(tmp_path / "p1"), str(tmp_path / "p2"))
@@ -216,12 +224,65 @@ def test_files(spark, tmp_path):
     g = tmp_path / "g.json"
     g.write_text('{"features": [{"properties": {"name": "A"}, "geometry": {"type": "Polygon", "coordinates": [[[0,0],[1,0],[1,1],[0,0]]]}}, {"properties": {"name": "Alaska"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0,0],[1,0],[1,1],[0,0]]]]}}]}')
     r = files.read_geojson(spark, str(g), leave_out=("Alaska",)).collect()
-    assert len(r) == 1 and r[0].name == "A" and len(r[0].ring) == 4 and r[0].ring[1].x == 1.0
+    assert len(r) == 1 and r[0].name == "A" and len(r[0].ring) == 4 and r[0].ring[1].x == 1.0 and len(r[0].rings) == 1
     files.write_csv(spark.range(2), str(tmp_path / "c"))
     files.write_records_json(spark.range(2), str(tmp_path / "j"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
     assert dict(values(files.summary_document({"a": spark.range(2), "b": spark.range(0)}), "part", "document")) == {"a": '[{"id":0},{"id":1}]', "b": "[]"}
-    assert files.find_data("a.csv", "/nowhere", str(tmp_path)) == str(p) and files.sample_rows(spark.range(9), ["id"], 2).count() == 2
+    assert files.find_data(spark, "a.csv", "/nowhere", str(tmp_path)) == str(p) and files.sample_rows(spark.range(9), ["id"], 2).count() == 2
+
+
+def test_phases_are_isolated():
+    def bad():
+        raise OSError("no network")
+
+    got = files.run_phases({"a": lambda: 3, "b": bad, "c": lambda: None, "d": bad}, wanted=("a", "b", "c"))
+    assert got == [("a", "done", "3"), ("b", "failed", "OSError: no network"), ("c", "done", ""), ("d", "left out", "")]
+
+
+def test_windows_projection_and_scales(spark):
+    one = spark.range(1)
+    got = one.select(S.calendar_windows(F.lit("2001-05-06"), F.lit("2003-02-01")).alias("w")).first().w
+    assert [(str(w.start), str(w.end)) for w in got] == [("2001-05-06", "2001-12-31"), ("2002-01-01", "2002-12-31"), ("2003-01-01", "2003-02-01")]
+    assert one.select(S.calendar_windows(F.lit("2003-01-01"), F.lit("2001-01-01"))).first()[0] is None
+    x, y = S.albers(F.lit(40.0), F.lit(-96.0))
+    assert one.select(x, y).first() == pytest.approx((0.0, 0.0), abs=1e-6)
+    # Areas are kept: a small cell has the area that it has on the ellipsoid.
+    a = one.select(*[c for d in ((0, 0), (0, 0.0005), (0.0005, 0)) for c in S.albers(F.lit(35.0 + d[0]), F.lit(-75.0 + d[1]))]).first()
+    area = abs((a[2] - a[0]) * (a[5] - a[1]) - (a[4] - a[0]) * (a[3] - a[1]))
+    e2 = 0.00669438002290
+    s = math.sin(math.radians(35.00025))
+    true = math.radians(0.0005) ** 2 * 6378137.0**2 * (1 - e2) * math.cos(math.radians(35.00025)) / (1 - e2 * s * s) ** 2
+    assert area == pytest.approx(true, rel=1e-5)
+    assert one.select(S.yearly_precipitation(F.lit(1e-5))).first()[0] == pytest.approx(315.36)
+    df = spark.createDataFrame([(100.0, 10.0, 0.5, 3.0)], "temp_c double, pet_mm double, lc_tree double, other double")
+    assert tuple(df.select(*S.scaled_covariates(df.columns)).first()) == pytest.approx((10.0, 12.0, 50.0, 3.0))
+
+
+def test_buffer_means_and_climate_deltas(spark):
+    places = spark.createDataFrame([("p", 45.0, -75.0), ("q", 10.0, 10.0)], "id string, lat double, lon double")
+    cells = spark.createDataFrame([("a", 45.001, -75.0, 1.0), ("b", 45.0, -75.002, 4.0), ("c", 45.5, -75.0, 100.0), ("d", 45.0, -75.0, None)], "cell_id string, lat double, lon double, v double")
+    assert {tuple(r) for r in stations.values_within(places, cells, ["v"], 1.0).collect()} == {("p", 2.5, 3), ("q", None, 0)}
+    rows = [(m, s, "c1", y, t + k, f) for k, m in enumerate(("m1", "m2")) for s, y, t, f in (("hist", 2000, 10.0, 1e-5), ("hist", 2001, 12.0, 3e-5), ("ssp245", 2041, 13.0, 4e-5), ("ssp585", 2041, 15.0 + k, 5e-5), ("hist", 1950, 99.0, 9.0))]
+    rows += [("m3", "ssp245", "c1", 2041, 50.0, 1.0)]
+    d = stations.climate_deltas(spark.createDataFrame(rows, "model string, scenario string, cell string, year int, temp double, precip_flux double"), "hist", {"ssp245": (2040, 2060), "ssp585": (2040, 2060)}, (1995, 2014))
+    got = {(r.model, r.scenario): (r.dtemp, round(r.dprecip, 3)) for r in d.collect()}
+    assert got == {("m1", "ssp245"): (2.0, 630.72), ("m1", "ssp585"): (4.0, 946.08), ("m2", "ssp245"): (2.0, 630.72), ("m2", "ssp585"): (5.0, 946.08)}
+    assert {(r.scenario, r.dtemp, r.n_models) for r in stations.model_mean(d).collect()} == {("ssp245", 2.0, 2), ("ssp585", 4.5, 2)}
+
+
+def test_nearest_grid_value_far_from_the_lattice(spark):
+    grid = spark.createDataFrame([(24.0 + 3 * a, -141.0 + 3 * b, None if (a + b) % 3 else float(a * 10 + b)) for a in range(5) for b in range(5)], "latitude double, longitude double, v double")
+    rng = np.random.default_rng(1)
+    pts = [(str(i), float(rng.uniform(10, 50)), float(rng.uniform(-170, -110))) for i in range(40)] + [("null", None, 1.0)]
+    got = {r.id: r.v for r in stations.grid_interpolate(spark.createDataFrame(pts, "id string, lat double, lon double"), grid, ["v"]).collect()}
+    have = [(r.latitude, r.longitude, r.v) for r in grid.collect() if r.v is not None]
+    from freshet.operators.proximity import _km
+
+    for i, la, lo in pts[:-1]:
+        km = [float(_km(np.array(lo), np.array(la), np.array(b), np.array(a))) for a, b, _ in have]
+        assert got[i] == have[int(np.argmin(km))][2]
+    assert got["null"] is None
 
 
 def test_entry_is_complete():
