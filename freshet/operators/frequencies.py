@@ -46,27 +46,40 @@ def bucket_of(bounds: list[float], value: str = "value") -> Column:
     return F.expr(f"aggregate(array({', '.join(map(str, steps))}), 0, (k, s) -> if(k + s <= {len(bounds)} and {value} > element_at({sorted_bounds}, least(k + s, {len(bounds)})), k + s, k))")
 
 
-def at_ranks(counts: DataFrame, groups: list[str], ranks: Callable[[Column], Column], bounds: list[float] | None = None) -> DataFrame:
-    """``*groups, target, value, n``: for each struct (``target``, ``rank``) that ``ranks`` makes of a group's total, the
-    least value whose cumulative count reaches the rank.
+def bucketed(counts: DataFrame, groups: list[str], bounds: list[float] | None = None) -> DataFrame:
+    """A written state (``*groups, value, n``) laid out by ordered buckets of values: one shuffle, written once.
 
-    ``counts`` is a written state (read twice) of these groups or of finer ones, which are rolled up; null keys are
-    groups. ``bounds`` only spread the work. The one shuffle of the state is by bucket; the totals are combined map-side.
+    ``bounds`` only spread the work and never change a result.
     """
     bounds = bucket_bounds(counts) if bounds is None else bounds
     keyed = counts.select(*groups, "value", "n", bucket_of(bounds).alias("__bucket"))
+    return reliable_checkpoint(keyed.repartition("__bucket"))
+
+
+def ranked(state: DataFrame, groups: list[str], ranks: Callable[[Column], Column]) -> DataFrame:
+    """``*groups, target, value, n``: for each struct (``target``, ``rank``) that ``ranks`` makes of a group's total, the
+    least value whose cumulative count reaches the rank.
+
+    ``state`` comes from ``bucketed`` for these groups or finer ones, which are rolled up; null keys are groups. Rows of one
+    bucket lie together, so roll-up, running sums and totals stay where they are; only the totals (a row per group and
+    bucket) travel.
+    """
     group = F.struct(*[F.coalesce(F.col(g).cast("string"), F.lit("\u0000null")) for g in groups]) if groups else F.struct(F.lit("all"))
-    totals = keyed.groupBy("__bucket", group.alias("__group")).agg(F.sum("n").alias("__sum"))
+    totals = state.groupBy("__bucket", group.alias("__group")).agg(F.sum("n").alias("__sum"))
     ordered = Window.partitionBy("__group").orderBy("__bucket")
     totals = totals.select("__bucket", "__group", (F.sum("__sum").over(ordered) - F.col("__sum")).alias("__before"), F.sum("__sum").over(Window.partitionBy("__group")).alias("__n"))
-    # Partitioned by bucket, hence also by (bucket, group): roll-up and running sums need no further shuffle.
-    state = keyed.repartition("__bucket").groupBy("__bucket", *groups, "value").agg(F.sum("n").alias("n")).withColumn("__group", group)
-    running = state.withColumn("__run", F.sum("n").over(Window.partitionBy("__bucket", "__group").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = state.groupBy("__bucket", *groups, "value").agg(F.sum("n").alias("n")).withColumn("__group", group)
+    running = rows.withColumn("__run", F.sum("n").over(Window.partitionBy("__bucket", "__group").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
     done = join_dictionary(running, totals, ["__bucket", "__group"]).withColumn("__upto", F.col("__before") + F.col("__run"))
     hits = F.filter(ranks(F.col("__n")), lambda t: (t["rank"] <= F.col("__upto")) & (t["rank"] > F.col("__upto") - F.col("n")))
     return done.select(*groups, "value", F.col("__n").alias("__total"), F.explode(hits).alias("t")).select(*groups, F.col("t.target").alias("target"), "value", F.col("__total").alias("n"))
 
 
+def at_ranks(counts: DataFrame, groups: list[str], ranks: Callable[[Column], Column], bounds: list[float] | None = None) -> DataFrame:
+    """``ranked`` for the groups of a state that is not laid out yet."""
+    return ranked(bucketed(counts, groups, bounds), groups, ranks)
+
+
 def medians(counts: DataFrame, groups: list[str]) -> DataFrame:
     """``*groups, median, n``: the middle value, or the mean of the two middle values, of each group of a state."""
     two = lambda n: F.array(F.struct(F.lit(0).alias("target"), F.expr("(__n + 1) div 2").alias("rank")), F.struct(F.lit(1).alias("target"), F.expr("__n div 2 + 1").alias("rank")))
