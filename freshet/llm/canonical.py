@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
@@ -25,25 +26,22 @@ SHARD = 50_000
 #: Edits allowed in a text of at least the given length.
 THRESHOLDS = ((12, 3), (5, 2), (3, 1), (0, 0))
 
-# Written-out forms of the abbreviations in use.
-ABBREVIATIONS = {
-    "diss": "dissolved", "tot": "total", "filt": "filtered", "unfilt": "unfiltered", "susp": "suspended", "part": "particulate",
-    "recov": "recoverable", "rec": "recoverable", "unk": "unknown", "wtr": "water", "resid": "residual", "ads": "adsorption",
-    "bicarb": "bicarbonate", "carb": "carbonate", "phenolphth": "phenolphthalein",
-}
-# Words that add nothing to the meaning of an entry.
-NOISE = {"ion", "any", "conc", "concentration", "phth", "endpoint", "recoverable", "lab", "field", "matter", "solids", "phase", "in", "as", "na", "cl", "ca", "mg", "so4"}
-# Other quantities of water analysis that lie near the entries, by kind. They win like entries, as unmatched.
-OTHERS = {
-    "characteristic": """chlorine; chlorine residual; chlorine total residual; chlorine free; chlorate; chlorite; perchlorate; chlordane; chlorophyll a; chlorophyll; chloroform;
-        sulfite; sulphite; sulfide; sulphide; sulfur; sulphur; sulfide total; sulfur total; sulfite total; sulfide dissolved; sulfur dissolved; chlorate dissolved; chlorite dissolved;
-        sodium adsorption ratio; sodium percent of cations; sodium percent; calcium hardness; calcium hardness as caco3; calcium carbonate; magnesium hardness; hardness; hardness total; durete totale;
-        manganese; manganese total; manganese dissolved; cadmium; cadmium total; cadmium dissolved; cesium; cesium dissolved; cesium total; potassium; potassium dissolved; potassium total;
-        acidity; acidity total; bromide; bromide dissolved; bromide total; fluoride; fluoride dissolved; fluoride total; iodide; silica; silica dissolved; silica total; selenium; selenium total;
-        nitrate; nitrite; nitrate nitrite; total dissolved solids; solides totaux; total solids; specific conductance; turbidity; alkalinity; gallium; barium; barium total; lithium; strontium;
-        chromium; chromium total; chromium dissolved; scandium; rubidium; phosphate; phosphate total; ammonia; calcite; magnesite; salinity; conductivity; acidite totale""",
-    "fraction": "supernatant; supernatant layer; sediment; bed sediment; pore water; tissue; composite; grab; replicate; field blank; blank; see note; settled; volatile; extractable",
-}
+
+@dataclass(frozen=True)
+class Terms:
+    """What is known of a subject beside its reference list; by default nothing.
+
+    ``abbreviations`` are written out; ``noise`` are words that add nothing to an entry (not at the start of a text);
+    ``bare`` are left out even there; ``others`` names, by kind, quantities near the list that win like entries, as unmatched.
+    """
+
+    abbreviations: Mapping[str, str] = field(default_factory=dict)
+    noise: frozenset[str] = frozenset()
+    bare: frozenset[str] = frozenset()
+    others: Mapping[str, str] = field(default_factory=dict)
+
+
+NO_TERMS = Terms()
 
 
 def distance(a: str, b: str) -> int:
@@ -130,14 +128,14 @@ def without_unit(text: str) -> str:
     return text
 
 
-def normal(text: str, units: bool = False) -> list[str]:
+def normal(text: str, units: bool = False, terms: Terms = NO_TERMS) -> list[str]:
     """Normalised readings of a text: as it stands, and with its abbreviations written out, its words without meaning left out."""
     if units:
         text = without_unit(text)
     words = re.findall(r"[a-z0-9]+", fold(text))
-    full = [ABBREVIATIONS.get(w, w) for w in words]
-    kept = [w for k, w in enumerate(full) if not (w in NOISE and k and len(full) > 1) and not (w.isdigit() and k)] if len(full) > 1 else full
-    kept = [w for w in kept if w not in ("lab", "field")] or kept
+    full = [terms.abbreviations.get(w, w) for w in words]
+    kept = [w for k, w in enumerate(full) if not (w in terms.noise and k and len(full) > 1) and not (w.isdigit() and k)] if len(full) > 1 else full
+    kept = [w for w in kept if w not in terms.bare] or kept
     out = [" ".join(words), " ".join(full), " ".join(kept)]
     return list(dict.fromkeys(x for x in out if x))
 
@@ -146,11 +144,11 @@ def threshold(text: str) -> int:
     return next(k for size, k in THRESHOLDS if len(text) >= size)
 
 
-def spellings(entries: list[tuple[int, str, str | None]], kind: str) -> list[tuple[str, int]]:
+def spellings(entries: list[tuple[int, str, str | None]], kind: str, terms: Terms = NO_TERMS) -> list[tuple[str, int]]:
     """(spelling, entry id) of names and aliases, also with the last word first; other quantities with id 0."""
     out: dict[tuple[str, int], None] = {}
     texts = [(e, t) for e, name, aliases in entries for t in [name, *(aliases or "").split(";")] if t and t.strip()]
-    for e, t in [*texts, *((0, x) for x in OTHERS.get(kind, "").split(";") if x.strip())]:
+    for e, t in [*texts, *((0, x) for x in terms.others.get(kind, "").split(";") if x.strip())]:
         words = re.findall(r"[a-z0-9]+", fold(t))
         out[" ".join(words), e] = None
         if len(words) == 2:
@@ -158,10 +156,10 @@ def spellings(entries: list[tuple[int, str, str | None]], kind: str) -> list[tup
     return list(out)
 
 
-def nearest(tree: BKTree, text: str, units: bool = False) -> tuple[int, int, str] | None:
+def nearest(tree: BKTree, text: str, units: bool = False, terms: Terms = NO_TERMS) -> tuple[int, int, str] | None:
     """(distance, entry id, spelling) of the nearest entry over all readings of the text; ties go to entries before other quantities, then to the smaller id."""
     best = None
-    for reading in normal(text, units):
+    for reading in normal(text, units, terms):
         for d, s, e in tree.within(reading, min(threshold(reading), best[0] if best else 99)):
             if best is None or (d, e == 0, e, s) < (best[0], best[1] == 0, best[1], best[2]):
                 best = (d, e, s)
@@ -182,7 +180,7 @@ def _frame(texts: pd.Series, hits: list[tuple[int, int, str] | None]) -> pd.Data
     return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in cols.items()})
 
 
-def map_texts(texts: DataFrame, reference: DataFrame, kind: str, units: bool = False) -> DataFrame:
+def map_texts(texts: DataFrame, reference: DataFrame, kind: str, units: bool = False, terms: Terms = NO_TERMS) -> DataFrame:
     """``text, ref_id, distance, spelling`` for every row of ``texts`` (one column ``text``, distinct).
 
     ``ref_id`` is 0, and ``spelling`` the other quantity or null, where the text names nothing on the list. Null texts
@@ -191,20 +189,20 @@ def map_texts(texts: DataFrame, reference: DataFrame, kind: str, units: bool = F
     """
     entries, many = _entries(reference, kind)
     if many:
-        return _map_sharded(texts, reference, kind, units)
-    items = spellings(entries, kind)
+        return _map_sharded(texts, reference, kind, units, terms)
+    items = spellings(entries, kind, terms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = BKTree(items)
         for pdf in batches:
-            hits = [None if t is None else nearest(tree, t, units) for t in pdf["text"]]
+            hits = [None if t is None else nearest(tree, t, units, terms) for t in pdf["text"]]
             yield _frame(pdf["text"], hits)
 
     # Small in bytes but dear in CPU: spread over all cores instead of the few partitions that sizes suggest.
     return texts.select("text").repartition(2 * texts.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, _OUT)
 
 
-def _map_sharded(texts: DataFrame, reference: DataFrame, kind: str, units: bool) -> DataFrame:
+def _map_sharded(texts: DataFrame, reference: DataFrame, kind: str, units: bool, terms: Terms = NO_TERMS) -> DataFrame:
     """Lists too large for one tree: a tree per shard of entries; each text is sent to every shard (texts are distinct, shards few)."""
     rows = reference.filter((F.col("kind") == kind) & F.col("name").isNotNull()).select("ref_id", "name", "aliases")
     shards = max(2, -(-rows.count() // SHARD))
@@ -214,8 +212,8 @@ def _map_sharded(texts: DataFrame, reference: DataFrame, kind: str, units: bool)
     asked = texts.select("text").withColumn("lot", F.pmod(F.xxhash64("text"), F.lit(lots)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tree = BKTree(spellings(list(zip(left["ref_id"], left["name"], left["aliases"])), kind))
-        hits = [None if t is None else nearest(tree, t, units) for t in right["text"]]
+        tree = BKTree(spellings(list(zip(left["ref_id"], left["name"], left["aliases"])), kind, terms))
+        hits = [None if t is None else nearest(tree, t, units, terms) for t in right["text"]]
         return _frame(right["text"], hits)
 
     found = listed.groupBy("shard", "lot").cogroup(asked.groupBy("shard", "lot")).applyInPandas(run, _OUT)
@@ -223,7 +221,7 @@ def _map_sharded(texts: DataFrame, reference: DataFrame, kind: str, units: bool)
     return found.groupBy("text").agg(best.alias("b")).select("text", "b.*")
 
 
-def map_column(df: DataFrame, reference: DataFrame, key: str, column: str, kind: str, units: bool = False) -> DataFrame:
+def map_column(df: DataFrame, reference: DataFrame, key: str, column: str, kind: str, units: bool = False, terms: Terms = NO_TERMS) -> DataFrame:
     """``key, field, ref_id`` for each non-null text of ``column`` that is not letter for letter a name of its kind.
 
     Each distinct text is mapped once (map-side combined), then the dictionary is joined to all rows, broadcast only
@@ -232,11 +230,11 @@ def map_column(df: DataFrame, reference: DataFrame, key: str, column: str, kind:
     rows = df.select(key, F.col(column).alias("text")).filter(F.col("text").isNotNull())
     names = reference.filter(F.col("kind") == kind).select(F.col("name").alias("text"))
     texts = rows.select("text").distinct().join(names, "text", "left_anti")
-    mapped = map_texts(texts, reference, kind, units).select("text", "ref_id")
+    mapped = map_texts(texts, reference, kind, units, terms).select("text", "ref_id")
     return join_dictionary(rows, mapped, ["text"]).select(key, F.lit(column).alias("field"), "ref_id")
 
 
-def found(df: DataFrame, reference: DataFrame, key: str = "rec_id") -> DataFrame:
+def found(df: DataFrame, reference: DataFrame, terms: Terms, key: str = "rec_id") -> DataFrame:
     """Each typed name and fraction that is no exact entry, with the entry it stands for, 0 where there is none."""
-    names = map_column(df, reference, key, "characteristic_source", "characteristic", units=True)
-    return names.unionByName(map_column(df, reference, key, "fraction", "fraction"))
+    names = map_column(df, reference, key, "characteristic_source", "characteristic", units=True, terms=terms)
+    return names.unionByName(map_column(df, reference, key, "fraction", "fraction", terms=terms))

@@ -2,23 +2,23 @@
 
 The column is reduced to counts per group and value, map-side combined. Those counts are the mergeable state: results of
 separate days or partitions are added with ``merge_counts``. For the percentiles the counts are range-sorted into
-ordered buckets, running sums are taken within a bucket, the totals of the buckets before are added, and the first
-value that reaches the target rank is picked. A group that holds a third of all rows is spread over all buckets.
+ordered buckets, as many as the counts ask for; running sums are taken within a bucket, the totals of the buckets before
+are added, and the first value that reaches the target rank is picked. A group that holds a third of all rows is spread
+over all buckets.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.operators import frequencies
 from freshet.session import reliable_checkpoint
 
-#: Ordered buckets over the whole value range; each is one window partition per group.
-BUCKETS = 64
-
 
 def quantized(value: Column, relative_error: float | None) -> Column:
     """The value itself, or the middle of its logarithmic bin, which lies within ``relative_error`` of it."""
@@ -39,9 +39,7 @@ def value_counts(df: DataFrame, groups: list[str], value: str, relative_error: f
     replaced by one within that relative error, and the state is bounded by the bins of the value range (about
     1420 / relative_error for all doubles) per group, however many rows there are. A null group key is a group.
     """
-    v = F.col(value).cast("double")
-    rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*groups, (quantized(v, relative_error) + F.lit(0.0)).alias("value"))
-    return rows.groupBy(*groups, "value").agg(F.count("*").alias("n"))
+    return frequencies.value_counts(df, groups, quantized(F.col(value).cast("double"), relative_error))
 
 
 def merge_counts(*parts: DataFrame) -> DataFrame:
@@ -55,58 +53,37 @@ def roll_up(counts: DataFrame, groups: list[str]) -> DataFrame:
     return counts.groupBy(*groups, "value").agg(F.sum("n").alias("n"))
 
 
-def bucket_bounds(counts: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """Ordered bounds that cut the distinct values into about equal shares (a sketch over all of them, at most ``buckets`` numbers)."""
-    shares = [k / buckets for k in range(1, buckets)]
-    row = counts.agg(F.percentile_approx("value", shares, 2000).alias("b")).first()
-    return sorted(set(row["b"] or []))
+def _ranks(percents: list[int]) -> Callable[[Column], Column]:
+    if not all(isinstance(p, int) and 0 <= p <= 100 for p in percents):
+        raise ValueError("percents are whole numbers from 0 to 100")
+    # Whole numbers throughout: ceil(n * p / 100), at least 1.
+    rank = lambda n, p: F.greatest(F.lit(1).cast("bigint"), F.call_function("div", n * p + 99, F.lit(100)))
+    return lambda n: F.array(*[F.struct(F.lit(p).alias("target"), rank(n, p).alias("rank")) for p in percents])
 
 
 def percentiles(counts: DataFrame, groups: list[str], percents: list[int], bounds: list[float] | None = None) -> DataFrame:
     """``*groups, percent, value, n`` from a state of ``value_counts``: the least value whose cumulative count reaches
     ceil(percent / 100 * n), the least of all for percent 0.
 
-    ``bounds`` (see ``bucket_bounds``) only spread the work and never change the result. Ties are counts of one value.
-    An empty state gives no row.
+    ``bounds`` of the buckets only spread the work and never change the result. Ties are counts of one value. An empty
+    state gives no row.
     """
-    if not all(isinstance(p, int) and 0 <= p <= 100 for p in percents):
-        raise ValueError("percents are whole numbers from 0 to 100")
-    bounds = bucket_bounds(counts) if bounds is None else bounds
-    # The number of bounds below the value, by a fixed search over a literal array; equal values share a bucket.
-    bucket = F.lit(0) if not bounds else F.expr(f"aggregate(array({', '.join(repr(float(b)) + 'D' for b in bounds)}), 0, (k, b) -> k + if(value > b, 1, 0))")
-    keyed = counts.withColumn("__bucket", bucket)
-    keys = [F.coalesce(F.col(g).cast("string"), F.lit("\u0000null")) for g in groups]
-    keyed = keyed.withColumn("__group", F.struct(*keys)) if groups else keyed.withColumn("__group", F.struct(F.lit("all")))
-    inside = Window.partitionBy("__group", "__bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    running = keyed.withColumn("__run", F.sum("n").over(inside))
-    totals = keyed.groupBy("__group", "__bucket").agg(F.sum("n").alias("__sum"))
-    ordered = Window.partitionBy("__group").orderBy("__bucket")
-    whole = Window.partitionBy("__group")
-    totals = totals.select("__group", "__bucket", (F.sum("__sum").over(ordered) - F.col("__sum")).alias("__before"), F.sum("__sum").over(whole).alias("__n"))
-    done = running.join(totals, ["__group", "__bucket"]).withColumn("__upto", F.col("__before") + F.col("__run"))
-    # Only values at which some target rank is reached go on: rank r is reached in (upto - n, upto].
-    rank = lambda p: F.greatest(F.lit(1), F.expr(f"({p}L * __n + 99) div 100"))
-    targets = F.array(*[F.struct(F.lit(p).alias("percent"), rank(p).alias("rank")) for p in percents])
-    hits = F.filter(targets, lambda t: (t["rank"] <= F.col("__upto")) & (t["rank"] > F.col("__upto") - F.col("n")))
-    picked = done.select(*groups, "value", F.col("__n").alias("__total"), F.explode(hits).alias("t"))
-    return picked.select(*groups, F.col("t.percent").alias("percent"), "value", F.col("__total").alias("n"))
+    ranks = _ranks(percents)
+    return frequencies.at_ranks(reliable_checkpoint(counts), groups, ranks, bounds).withColumnRenamed("target", "percent")
 
 
 def percentiles_by(df: DataFrame, groupings: dict[str, list[str]], value: str, percents: list[int], relative_error: float | None = None) -> DataFrame:
     """Percentiles of several groupings from one pass over the rows.
 
-    ``groupings`` names each list of group columns. The rows are reduced once to counts over all group columns; coarser
-    states are rolled up from that. Columns: ``grouping``, all group columns as text (null where a grouping lacks one),
-    ``percent, value, n``.
+    ``groupings`` names each list of group columns. The rows are reduced once to counts over all group columns, and these
+    are laid out by buckets of values once; each grouping rolls them up where they lie. Columns: ``grouping``, all group
+    columns as text (null where a grouping lacks one), ``percent, value, n``.
     """
-    columns = list(dict.fromkeys(c for g in groupings.values() for c in g))
-    base = reliable_checkpoint(value_counts(df, columns, value, relative_error))
-    bounds = bucket_bounds(base)
-    sets = [(name, cols) for name, cols in groupings.items()]
-    # One expand over the groupings, one combine, one set of windows for all of them.
-    copies = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("grouping"), *[(F.col(c).cast("string") if c in cols else F.lit(None).cast("string")).alias(c) for c in columns]) for name, cols in sets])
-    )
-    keyed = base.select(copies.alias("g"), "value", "n").select("g.*", "value", "n")
-    state = keyed.groupBy("grouping", *columns, "value").agg(F.sum("n").alias("n"))
-    return percentiles(state, ["grouping", *columns], percents, bounds)
+    columns, ranks = list(dict.fromkeys(c for g in groupings.values() for c in g)), _ranks(percents)
+    state = frequencies.bucketed(reliable_checkpoint(value_counts(df, columns, value, relative_error)), columns)
+    parts = []
+    for name, groups in groupings.items():
+        part = frequencies.ranked(state, groups, ranks)
+        cells = [(F.col(c) if c in groups else F.lit(None)).cast("string").alias(c) for c in columns]
+        parts.append(part.select(F.lit(name).alias("grouping"), *cells, F.col("target").alias("percent"), "value", "n"))
+    return reduce(DataFrame.unionByName, parts)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm import canonical, leakage, packing, percentiles, splitting
+from freshet.llm.water_terms import WATER
 from freshet.sources.tables import table
 
 PERCENTS = [1, 5, 10, 25, 50, 75, 90, 95, 99]
@@ -29,7 +30,7 @@ def p2_percentiles_bounded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.found(table(spark, d, "harmonize"), table(spark, d, "name_ref"))
+    return canonical.found(table(spark, d, "harmonize"), table(spark, d, "name_ref"), WATER)
 
 
 def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +40,7 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     for column, kind in (("characteristic_source", "characteristic"), ("fraction", "fraction")):
         counts = h.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("text")).agg(F.count("*").alias("n"))
         names = ref.filter(F.col("kind") == kind).select(F.col("name").alias("text"))
-        unmatched = canonical.map_texts(counts.select("text").join(names, "text", "left_anti"), ref, kind, units=column == "characteristic_source").filter("ref_id = 0")
+        unmatched = canonical.map_texts(counts.select("text").join(names, "text", "left_anti"), ref, kind, units=column == "characteristic_source", terms=WATER).filter("ref_id = 0")
         parts.append(unmatched.join(counts, "text").select(F.lit(column).alias("field"), "text", "n"))
     return parts[0].unionByName(parts[1])
 

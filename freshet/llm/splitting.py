@@ -2,8 +2,7 @@
 
 Every token border of a text has a boundary strength (paragraph, line, sentence, clause, word, inside a word). A
 sparse table answers range-maximum queries over the strengths, so the strongest cut in each permissible window of
-lengths is found in constant time; ties go to the rightmost border. The next piece starts the overlap before the cut,
-moved to the strongest border of a small window there.
+lengths is found in constant time; ties go to the rightmost border. The next piece starts the overlap before the cut.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ from freshet.llm.tokens import MEMO, VOCABULARY, Tokenizer, tokenizer
 LIMIT, OVERLAP = 1024, 64
 #: Share of the limit that a piece fills at least when a natural boundary is sought.
 FILL = 0.5
+#: Borders on either side of the overlap that are tried for the exact number of tokens.
+NEAR = 12
 # Strengths, strongest last.
 BROKEN, INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(-1, 6)
 
@@ -89,11 +90,11 @@ class RangeMaximum:
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, fill: float = FILL, tok: Tokenizer | None = None) -> list[tuple[int, int, int]]:
     """(first byte, end byte, tokens) of the pieces; one piece where the text is within the limit.
 
-    Each piece holds at most ``limit`` tokens, counted anew on the piece itself. Consecutive pieces share at least
-    ``overlap`` tokens where that leaves room to advance, up to twice as many when a natural boundary lies there.
+    Each piece holds at most ``limit`` tokens, counted anew on the piece itself. Consecutive pieces share ``overlap``
+    tokens, counted on the shared text; where no border near there gives that number, the next higher one.
     """
-    if not 0 <= 2 * overlap < limit * fill:
-        raise ValueError("twice the overlap must stay under the least fill")
+    if not 0 <= overlap < int(limit * fill):
+        raise ValueError("the overlap must stay under the least fill")
     tok = tok or tokenizer()
     raw = text.encode("utf-8", "replace")
     at = tok.starts(text)
@@ -120,7 +121,27 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, fill: float = FI
         out.append((a, b, size))
         if end == n:
             return out
-        start = _solid(table, max(start + 1, end - 2 * overlap), max(start + 1, end - overlap), start) if overlap else end
+        start = _step_back(tok, raw, at, force, end, overlap, start)
+
+
+def _step_back(tok: Tokenizer, raw: bytes, at: np.ndarray, force: np.ndarray, end: int, overlap: int, floor: int) -> int:
+    """The border beyond ``floor`` from which the text up to ``end`` holds exactly ``overlap`` tokens, counted on that text.
+
+    Where the words there regroup so that none does, the border nearest to it that holds more; where there is none, ``end``.
+    """
+    if not overlap:
+        return end
+    b, best = int(at[end]), None
+    for d in sorted(range(-NEAR, NEAR + 1), key=lambda d: (abs(d), d)):
+        s = end - overlap + d
+        if s <= floor or s >= end or force[s] == BROKEN:
+            continue
+        n = tok.count(raw[int(at[s]) : b].decode("utf-8", "replace"))
+        if n == overlap:
+            return s
+        if n > overlap and (best is None or n < best[0]):
+            best = (n, s)
+    return best[1] if best else end
 
 
 def _solid(table: RangeMaximum, a: int, b: int, floor: int) -> int:

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from freshet.llm import canonical, leakage, packing, percentiles, splitting, tokens
+from freshet.llm.water_terms import WATER
 
 # ---- percentiles ---------------------------------------------------------------------------------------------------
 
@@ -65,24 +66,30 @@ def _ref(spark):
 
 def test_names(spark):
     texts = spark.createDataFrame([(t,) for t in CASES] + [(None,)], "text string")
-    got = {r.text: r.ref_id for r in canonical.map_texts(texts, _ref(spark), "characteristic", True).collect()}
+    got = {r.text: r.ref_id for r in canonical.map_texts(texts, _ref(spark), "characteristic", True, WATER).collect()}
     assert got.pop(None) == 0 and got == CASES
     assert {r.ref_id for r in canonical.map_texts(texts, _ref(spark).limit(0), "nothing").collect()} == {0}
 
 
+def test_without_terms_only_the_list_counts(spark):
+    texts = spark.createDataFrame([("Chloride, dissolvd",), ("Chloride, diss.",), ("Manganese, total",), ("field blank",)], "text string")
+    got = {r.text: (r.ref_id, r.spelling) for r in canonical.map_texts(texts, _ref(spark), "characteristic").collect()}
+    assert got["Chloride, dissolvd"][0] == 1 and got["Chloride, diss."][0] != 1 and got["field blank"] == (0, None)
+
+
 def test_fractions_and_rows(spark):
     want = {"Filtered 0.45": 101, "unfilterd": 102, "whole wtr": 102, "total rec.": 102, "nonfilterable": 103, "susp.": 103, "Suspended solids phase": 103, "lab-filtered": 101, "field blank": 0, "grab": 0, "Supernatant layer": 0}
     rows = [(i, None, t) for i, t in enumerate(want)] + [(90, None, "total"), (91, None, None), (92, "Chloride", "Total")] * 2
     df = spark.createDataFrame(rows, "rec_id long, characteristic_source string, fraction string").selectExpr("*", "1 as text", "2 as ref_id")
-    got = sorted((r.rec_id, r.field, r.ref_id) for r in canonical.found(df, _ref(spark)).collect())
+    got = sorted((r.rec_id, r.field, r.ref_id) for r in canonical.found(df, _ref(spark), WATER).collect())
     assert got == sorted([(i, "fraction", k) for i, k in enumerate(want.values())] + [(92, "fraction", 102)] * 2)
 
 
 def test_shards_agree(spark, monkeypatch):
     texts = spark.createDataFrame([(t,) for t in CASES], "text string")
-    whole = {r.text: r.ref_id for r in canonical.map_texts(texts, _ref(spark), "characteristic", True).collect()}
+    whole = {r.text: r.ref_id for r in canonical.map_texts(texts, _ref(spark), "characteristic", True, WATER).collect()}
     monkeypatch.setattr(canonical, "SHARD", 3)
-    assert {r.text: r.ref_id for r in canonical.map_texts(texts, _ref(spark), "characteristic", True).collect()} == whole
+    assert {r.text: r.ref_id for r in canonical.map_texts(texts, _ref(spark), "characteristic", True, WATER).collect()} == whole
 
 
 words = st.text(alphabet="abc", max_size=6)
@@ -162,12 +169,43 @@ def test_leaks_brute_force(spark):
     assert leakage.found(d.limit(0), i).count() == 0 and leakage.found(d, i.limit(0)).count() == 0
 
 
-def test_item_blocks_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_a_full_filter_only_costs_time(spark, monkeypatch, bits):
     items = [(k, " ".join(f"a{k}x{j}" for j in range(20))) for k in range(6)]
-    d = spark.createDataFrame([(k, "intro " + t + " end") for k, t in items], "doc_id long, text string")
+    d = spark.createDataFrame([(k, "intro " + t + " end") for k, t in items] + [(50, " ".join(f"b{j}" for j in range(500)))] * 2 + [(0, items[0][1])], "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(leakage, "INDEX_WORDS", 40)
-    assert sorted((r.doc_id, r.item_id) for r in leakage.found(d, i).collect()) == [(k, k) for k in range(6)]
+    monkeypatch.setattr(leakage, "MOST_BITS", bits)
+    assert sorted((r.doc_id, r.item_id) for r in leakage.found(d, i).collect()) == [(0, 0)] + [(k, k) for k in range(6)]
+
+
+def _tiles_plain(doc, item, least):
+    """Greedy tiling as it is defined: all longest free common runs of each round, in order of place."""
+    free = [[True] * len(doc), [True] * len(item)]
+    out = []
+    while True:
+        best, longest = [], least - 1
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                k = 0
+                while i + k < len(doc) and j + k < len(item) and free[0][i + k] and free[1][j + k] and doc[i + k] == item[j + k]:
+                    k += 1
+                if k > longest:
+                    best, longest = [(i, j)], k
+                elif k == longest and k >= least:
+                    best.append((i, j))
+        if not best:
+            return out
+        for i, j in best:
+            if all(free[0][i : i + longest]) and all(free[1][j : j + longest]):
+                free[0][i : i + longest] = [False] * longest
+                free[1][j : j + longest] = [False] * longest
+                out.append((i, j, longest))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abc"), max_size=25))
+def test_tiles_against_the_definition(doc, item):
+    assert leakage.tiles(doc, item, 3) == _tiles_plain(doc, item, 3)
 
 
 def test_tiles_catch_reordered_passages():
@@ -175,8 +213,7 @@ def test_tiles_catch_reordered_passages():
     doc = ["x"] + item[20:40] + ["y"] + item[0:20] + ["z"]
     t = leakage.tiles(doc, item, 12)
     assert sorted(t) == [(1, 20, 20), (22, 0, 20)]
-    hits = leakage.leaks(leakage.Items([(5, " ".join(item))]), " ".join(doc))
-    assert hits == [(5, 2, 20, 1.0)]
+    assert leakage.leak(" ".join(doc), " ".join(item)) == (2, 20, 1.0) and leakage.leak("", "x") is None
     assert leakage.tiles(item[:11], item, 12) == [] and leakage.tiles(["a"] * 30, ["a"] * 15, 12) == [(0, 0, 15), (15, 0, 15)][:1]
 
 
@@ -213,6 +250,16 @@ def test_pieces_cover_and_fit(text, overlap):
     _check(text, 40, overlap)
 
 
+def test_the_overlap_is_the_one_asked_for():
+    rng = random.Random(3)
+    words = ["chloride", "river", "Sample,", "the", "mg/L", "élevé", "12.5", "station.", "and\n\n", "field\n", "unfiltered;"]
+    text = " ".join(rng.choice(words) for _ in range(6000))
+    raw, tok = text.encode(), tokens.tokenizer()
+    for limit, overlap in ((256, 16), (1024, 64), (100, 1), (64, 31)):
+        pieces = splitting.cuts(text, limit, overlap)
+        assert [tok.count(raw[b[0] : a[1]].decode()) for a, b in zip(pieces, pieces[1:])] == [overlap] * (len(pieces) - 1)
+
+
 def test_long_texts():
     _check("x" * 20000, 100, 10)
     _check(" " * 20000, 100, 10)
