@@ -1,31 +1,30 @@
-"""Models over the station tables: spatially blocked validation, boosted trees and forests, attribution, regimes.
+"""Models over the station tables: spatially blocked validation, attribution, regimes.
 
-All learners are pyspark.ml, fitted on the frame that is passed in; nothing is collected but fold sizes, tree nodes and
-cluster centres.
+Trees are those of ``boosting``: fitted on a bounded sample of rows, validated, attributed and applied over all rows.
+Regimes are pyspark.ml k-means; only cluster centres reach the driver, and a bounded sample for the silhouette.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import block_id
+from freshet.operators.boosting import Ensemble, Settings, fit_apart, predicted
 from freshet.operators.stations import group_folds
-from freshet.session import join_dictionary
+from freshet.session import join_dictionary, reliable_checkpoint
 
-MISSING = -999.0
+#: Rows of a table that the silhouette compares with each other at most.
+SILHOUETTE_ROWS = 3000
 
 
 def feature_columns(df: DataFrame, meta: set[str]) -> list[str]:
@@ -33,70 +32,24 @@ def feature_columns(df: DataFrame, meta: set[str]) -> list[str]:
     return [f.name for f in df.schema if f.name not in meta and f.dataType.typeName() in ("double", "float", "integer", "long")]
 
 
-def assemble(df: DataFrame, features: list[str], categorical: tuple[str, ...] = ("ion",)) -> DataFrame:
-    """Adds the vector ``x``: numbers with missing ones as -999, categories as indexes in alphabetical order."""
-    stages = [StringIndexer(inputCol=c, outputCol=f"__{c}", stringOrderType="alphabetAsc", handleInvalid="keep") for c in categorical]
-    filled = df.select(*[c for c in df.columns if c not in features], *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(MISSING)), F.lit(MISSING)).alias(c) for c in features])
-    stages.append(VectorAssembler(inputCols=[*(f"__{c}" for c in categorical), *features], outputCol="x"))
-    return Pipeline(stages=stages).fit(filled).transform(filled)
+def spatial_folds(df: DataFrame, folds: int = 5, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """``df`` with ``block`` and ``fold``: folds are made of whole 2-degree blocks; rows without a position are left out."""
+    rows = df.withColumn("block", block_id(lat, lon)).filter(F.col("block").isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    return join_dictionary(rows, group_folds(rows, "block", folds).select("block", "fold"), ["block"])
 
 
-def gbt(label: str, rounds: int = 20, depth: int = 5) -> GBTRegressor:
-    return GBTRegressor(featuresCol="x", labelCol=label, predictionCol="guess", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=5, seed=0)
+def spatial_cv(df: DataFrame, label: str, numeric: list[str], categorical: list[str], settings: Settings, folds: int = 5, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Out-of-fold predictions ``guess`` of all labelled rows with spatial folds, so no block is on both sides.
 
-
-def forest(label: str, trees: int = 30) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="x", labelCol=label, predictionCol="guess", numTrees=trees, minInstancesPerNode=5, featureSubsetStrategy="all", maxDepth=8, seed=0)
-
-
-def spatial_cv(df: DataFrame, learner, folds: int = 5, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Out-of-fold predictions ``guess`` with folds made of whole 2-degree blocks, so no block is on both sides."""
-    rows = df.withColumn("block", block_id(lat, lon)).filter(F.col("block").isNotNull())
-    rows = join_dictionary(rows, group_folds(rows, "block", folds).select("block", "fold"), ["block"]).cache()
-    present = sorted(r[0] for r in rows.select("fold").distinct().collect())  # at most ``folds`` numbers
-
-    def one(k: int) -> DataFrame:
-        return learner.fit(rows.filter(F.col("fold") != k)).transform(rows.filter(F.col("fold") == k))
-
-    # The fits are many short jobs; run side by side they fill the cluster.
-    with ThreadPool(folds) as pool:
-        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), present if len(present) > 1 else [])
-    return reduce(DataFrame.unionByName, parts) if parts else rows.limit(0).withColumn("guess", F.lit(None).cast("double"))
-
-
-def importance(model, names: list[str]) -> list[tuple[str, float]]:
-    """Gain importance in per cent, largest first."""
-    return sorted(((n, float(v) * 100) for n, v in zip(names, model.featureImportances.toArray())), key=lambda t: (-t[1], t[0]))
+    Null where there are fewer than two folds.
+    """
+    rows = reliable_checkpoint(spatial_folds(df.filter(F.col(label).isNotNull()), folds, lat, lon))
+    return predicted(rows, fit_apart(rows, label, numeric, categorical, settings, "fold"), "fold")
 
 
 # ---- TreeSHAP ------------------------------------------------------------------------------------------------------
 
 
-def tree_nodes(model) -> list[tuple[list[tuple], float]]:
-    """(nodes, weight) of each tree; a node is (feature, threshold or set of left categories, left, right, value, cover), feature -1 at a leaf."""
-    out = []
-    for tree, weight in zip(model.trees, model.treeWeights):
-        nodes: list[tuple] = []
-
-        def walk(node, nodes=nodes) -> int:
-            k = len(nodes)
-            cover = float(node.impurityStats().count())
-            nodes.append(())
-            if node.numDescendants() == 0:
-                nodes[k] = (-1, 0.0, -1, -1, float(node.prediction()), cover)
-            else:
-                split = node.split()
-                kind = split.getClass().getSimpleName()
-                at = frozenset(float(v) for v in split.leftCategories()) if kind == "CategoricalSplit" else float(split.threshold())
-                left, right = walk(node.leftChild()), walk(node.rightChild())
-                nodes[k] = (int(split.featureIndex()), at, left, right, 0.0, cover)
-            return k
-
-        walk(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree.rootNode())
-        out.append((nodes, float(weight)))
-    return out
-
-
 def tree_shap(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
     """Shapley values of one tree for one row, path-dependent: a subset takes the mean of both branches by cover elsewhere."""
     return tree_shap_rows(nodes, np.asarray(x, dtype=float)[None, :])[0]
@@ -148,17 +101,20 @@ def _choose(n: int, k: int) -> int:
     return out
 
 
-def mean_abs_shap(model, df: DataFrame, names: list[str]) -> DataFrame:
+def mean_abs_shap(model: Ensemble, df: DataFrame) -> DataFrame:
     """``feature, mean_abs_shap`` over all rows."""
-    trees = tree_nodes(model)
+    trees = [t.nodes() for t in model.trees]
+    shipped = df.sparkSession.sparkContext.broadcast((model.encoder, trees, model.weight))
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder, known, weight = shipped.value
         for pdf in batches:
             if len(pdf):
-                x = np.array(pdf["x"].tolist(), dtype=float)
-                yield pd.DataFrame({"feature": names, "total": np.abs(sum(w * tree_shap_rows(n, x) for n, w in trees)).sum(0), "n": len(x)})
+                x = encoder.bins(pdf).astype(float)
+                phi = sum((tree_shap_rows(n, x) for n in known), np.zeros(x.shape)) * weight
+                yield pd.DataFrame({"feature": encoder.names, "total": np.abs(phi).sum(0), "n": len(x)})
 
-    rows = df.select(vector_to_array("x").alias("x")).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    rows = df.select(*model.encoder.names).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
     sums = rows.mapInPandas(run, "feature string, total double, n bigint")
     return sums.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("mean_abs_shap"))
 
@@ -175,33 +131,64 @@ ARCHETYPES = {
 }
 
 
+
+
 def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing numbers replaced by the exact column median."""
     medians = df.agg(*[F.median(c).alias(c) for c in columns]).first()
     return df.fillna({c: float(medians[c]) for c in columns if medians[c] is not None})
 
 
-def kmeans_typology(df: DataFrame, columns: list[str], k: int = 5, starts: int = 3) -> tuple[DataFrame, float]:
-    """Rows with ``cluster``, the best of several seeds by cost, on standardised columns; and the silhouette."""
-    filled = impute_medians(df, columns)
-    x = VectorAssembler(inputCols=columns, outputCol="raw").transform(filled)
-    x = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(x).transform(x).cache()
-    fits = [KMeans(featuresCol="x", predictionCol="cluster", k=k, seed=s).fit(x) for s in range(starts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    out = best.transform(x)
-    return out.drop("raw", "x"), ClusteringEvaluator(featuresCol="x", predictionCol="cluster").evaluate(out)
+def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``, missing numbers filled, with the vector ``x`` of the standardised columns; written once, since every fit reads it."""
+    x = VectorAssembler(inputCols=columns, outputCol="__raw").transform(impute_medians(df, columns))
+    return reliable_checkpoint(StandardScaler(inputCol="__raw", outputCol="x", withMean=True).fit(x).transform(x).drop("__raw"))
+
+
+def best_clusters(x: DataFrame, k: int, starts: int) -> KMeansModel:
+    """The k-means model of least cost over several starts, which run side by side."""
+    one = inheritable_thread_target(x.sparkSession)(lambda seed: KMeans(featuresCol="x", predictionCol="cluster", k=k, seed=seed).fit(x))
+    with ThreadPool(min(starts, 8)) as pool:
+        return min(pool.map(one, range(starts)), key=lambda m: m.summary.trainingCost)
+
+
+def silhouette(clustered: DataFrame, key: str, most: int = SILHOUETTE_ROWS) -> float:
+    """Mean Euclidean silhouette over at most ``most`` rows (those of the least hash of their key), each compared with all others of them."""
+    pdf = clustered.orderBy(F.xxhash64(key), key).limit(most).select(vector_to_array("x").alias("x"), "cluster").toPandas()
+    if pdf["cluster"].nunique() < 2:
+        return float("nan")
+    x, c = np.array(pdf["x"].tolist()), pdf["cluster"].to_numpy()
+    kinds, own = np.unique(c, return_inverse=True)
+    sums = np.empty((len(x), len(kinds)))
+    square = (x**2).sum(1)
+    for at in range(0, len(x), 500):
+        far = np.sqrt(np.maximum(square[at : at + 500, None] + square - 2 * x[at : at + 500] @ x.T, 0))
+        sums[at : at + 500] = np.stack([far[:, own == k].sum(1) for k in range(len(kinds))], 1)
+    n = np.bincount(own)
+    rows = np.arange(len(x))
+    inner = sums[rows, own] / np.maximum(n[own] - 1, 1)
+    mean = sums / n
+    mean[rows, own] = np.inf
+    outer = mean.min(1)
+    return float(np.where(n[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0).mean())
 
 
 def name_regimes(centres: pd.DataFrame, columns: list[str]) -> dict[int, str]:
-    """A name for each cluster: archetypes in fixed order take the free cluster that scores best on z-scored centres.
+    """A name for each cluster (index of ``centres``), from a long list of (archetype, cluster, score).
 
-    Ties go to the lower cluster number; a cluster left over is named after its Na:Cl ratio.
+    The list is sorted by archetype, in their order, then by score, then by cluster number; going down it, a line counts when
+    neither its archetype nor its cluster is taken. A cluster left over is named after its Na:Cl ratio.
     """
-    spread = (centres[columns] - centres[columns].mean()) / (centres[columns].std() + 1e-9)
-    score = pd.DataFrame({label: sum(w * spread[f] for f, w in terms.items() if f in spread) for label, terms in ARCHETYPES.items()}, index=centres.index)
-    names: dict[int, str] = {}
-    for label in score:
-        free = score[label].drop(list(names)).sort_index()
-        if len(free):
-            names[free.idxmax()] = label
-    return names | {c: f"Mixed ({centres['na_cl'].get(c, float('nan')):.2f} Na:Cl)" for c in centres.index if c not in names}
+    spread = centres[columns].sub(centres[columns].mean()).div(centres[columns].std() + 1e-9).rename_axis("cluster")
+    lines = []
+    for order, (label, weights) in enumerate(ARCHETYPES.items()):
+        known = {f: w for f, w in weights.items() if f in spread}
+        score = spread[list(known)].mul(pd.Series(known)).sum(axis=1)
+        lines += [(order, -s, c, label) for c, s in score.items()]
+    named: dict[int, str] = {}
+    for _, _, cluster, label in sorted(lines):
+        if cluster not in named and label not in named.values():
+            named[cluster] = label
+    ratio = centres["na_cl"] if "na_cl" in centres else pd.Series(np.nan, centres.index)
+    # Fixed value: the form of the name of a cluster left over.
+    return {c: named.get(c, f"Mixed ({ratio[c]:.2f} Na:Cl)") for c in centres.index}

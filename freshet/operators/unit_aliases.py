@@ -160,6 +160,19 @@ def alias_dictionary(df: DataFrame, text_col: str, inside: bool = False) -> Data
     return texts.mapInPandas(_mapper(inside), "spelling string, unit_text string, basis string, factor double, cost double")
 
 
+def stated_units(df: DataFrame, key: str, unit_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns of ``carry``, ``unit_text, basis, factor`` of every row: the unit of ``unit_col`` or, where that is null, the one in ``text_col``.
+
+    ``basis`` is none where there is no unit or none of concentration.
+    """
+    rows = df.select(key, *carry, F.col(unit_col).alias("__u"), F.coalesce(unit_col, text_col).alias("spelling"))
+    parts = []
+    for inside in (False, True):
+        part = rows.filter(F.col("__u").isNull() if inside else F.col("__u").isNotNull())
+        parts.append(join_dictionary(part, alias_dictionary(part, "spelling", inside).drop("cost"), ["spelling"], "left"))
+    return parts[0].unionByName(parts[1]).select(key, *carry, "unit_text", F.coalesce("basis", F.lit("none")).alias("basis"), "factor")
+
+
 def to_micrograms(df: DataFrame, ions: DataFrame, key: str, value_col: str, unit_col: str, text_col: str, ion_col: str) -> DataFrame:
     """``key, value_ug, basis, unit_text``: the value in ug/L as a double; null where it is no concentration per volume.
 
@@ -167,14 +180,12 @@ def to_micrograms(df: DataFrame, ions: DataFrame, key: str, value_col: str, unit
     ``equiv_weight`` and ``molar_mass`` of the row's ion; an unknown ion gives null there. Null values give null. Every
     input row gives one row; an empty table gives an empty one. Columns beside those named are ignored.
     """
-    rows = df.select(F.col(key), F.col(value_col).alias("v"), F.col(unit_col).alias("u"), F.col(text_col).alias("t"), F.col(ion_col).alias("ion"))
-    own = rows.filter(F.col("u").isNotNull()).withColumn("spelling", F.col("u"))
-    text = rows.filter(F.col("u").isNull()).withColumn("spelling", F.col("t"))
-    parts = [join_dictionary(part, alias_dictionary(part, "spelling", inside), ["spelling"], "left") for part, inside in ((own, False), (text, True))]
+    rows = df.select(F.col(key), F.col(value_col).alias("__v"), F.col(ion_col).alias("__of"), F.col(unit_col).alias("__unit"), F.col(text_col).alias("__text"))
+    both = stated_units(rows, key, "__unit", "__text", ("__v", "__of"))
     weights = ions.select(F.col("ion").alias("__ion"), "molar_mass", "equiv_weight")
-    both = parts[0].unionByName(parts[1]).join(weights, F.col("ion") == F.col("__ion"), "left")
+    both = both.join(weights, F.col("__of") == F.col("__ion"), "left")
     scale = F.when(F.col("basis").isin("mg/L", "mass"), F.lit(1.0)).when(F.col("basis") == "charge", F.col("equiv_weight")).when(F.col("basis") == "molar", F.col("molar_mass"))
-    return both.select(key, (F.col("v") * F.col("factor") * scale).alias("value_ug"), F.coalesce("basis", F.lit("none")).alias("basis"), "unit_text")
+    return both.select(key, (F.col("__v") * F.col("factor") * scale).alias("value_ug"), "basis", "unit_text")
 
 
 def fill_milligrams(df: DataFrame, ions: DataFrame, value_col: str = "value_source", unit_col: str = "unit_source", text_col: str = "characteristic_source", ion_col: str = "ion", out: str = "value_mg_L") -> DataFrame:

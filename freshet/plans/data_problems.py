@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.operators import plausibility, proximity, timestamps, unit_aliases
+from freshet.plans import base_sql
 from freshet.sources import records
 from freshet.sources.tables import table
 
@@ -19,7 +20,9 @@ def p1_status_by_source(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "harmonize").select("datetime", "source", "state_prov")
     rows = rows.join(table(spark, d, "zone_ref").select("state_prov", F.col("zone").alias("home_zone")), "state_prov", "left")
     done = timestamps.normalize_timestamps(rows, "datetime", "home_zone", "source")
-    return done.groupBy("source", F.col("utc_status").alias("status")).agg(F.count("*").alias("n"), F.min("utc_seconds").alias("first_s"), F.max("utc_seconds").alias("last_s"))
+    return done.groupBy("source", F.col("utc_status").alias("status")).agg(F.count("*").alias("n"), F.min("utc_seconds").alias("a"), F.max("utc_seconds").alias("b")).select(
+        "source", "status", "n", timestamps.instant_text("a").alias("first_utc"), timestamps.instant_text("b").alias("last_utc")
+    )
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +34,13 @@ def p3_unit_aliases(spark: SparkSession, d: str) -> DataFrame:
     return unit_aliases.alias_dictionary(table(spark, d, "harmonize"), "unit_source").select("spelling", "unit_text", "basis", "factor", F.round("cost", 3).alias("cost"))
 
 
+def p3_units_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Records by source and the unit that they state."""
+    h = table(spark, d, "harmonize")
+    units = unit_aliases.stated_units(h, "rec_id", "unit_source", "characteristic_source", ("source",))
+    return units.groupBy("source", "basis", F.when(F.col("basis") != "none", F.col("factor")).alias("factor")).agg(F.count("*").alias("n"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return proximity.found(table(spark, d, "harmonize"))
 
@@ -63,9 +73,38 @@ def p7_flag_counts(spark: SparkSession, d: str) -> DataFrame:
     return plausibility.flag_visits(table(spark, d, "harmonize")).groupBy("ion", names.alias("flag")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_status_by_source, p3_found, p3_unit_aliases, p5_found, p5_stations_in_bands, p6_found, p6_typed_rows, p7_found, p7_flag_counts)}
+
+_ISO = "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z"
+
+
+def _fields(delimiter: str) -> str:
+    """Records with a delimiter cut by regular expressions: ``whole`` (well quoted), ``cells`` with quotes taken off."""
+    d = "\\" + delimiter if delimiter == "|" else delimiter
+    quoted, bare = '"(?:[^"]|"")*"', f'[^{d}"]*'
+    cell = f"(?:{quoted}|{bare})"
+    unquote = """CASE WHEN x[1] = '"' THEN replace(x[2:len(x) - 1], '""', '"') ELSE x END"""
+    return f"""SELECT l.line_id, l.layout, string_split(y.header, y.delimiter) AS names, y.n_fields, regexp_full_match(l.raw, '{cell}(?:{d}{cell})*', 's') AS whole,
+ list_transform(regexp_extract_all('{delimiter}' || l.raw, '{d}({quoted}|{bare})', 1, 's'), lambda x: {unquote}) AS cells FROM raw_lines l JOIN raw_layouts y ON l.layout = y.layout WHERE y.delimiter = '{delimiter}'"""
+
+
+#: ``fields``: line_id, layout, names, cells, reason (null where the record loads).
+FIELDS_SQL = f"""cut AS ({' UNION ALL '.join(map(_fields, ',;|'))}),
+named AS (SELECT *, cells[list_position(names, 'characteristic_source')] AS name, cells[list_position(names, 'value_mg_L')] AS number FROM cut),
+fields AS (SELECT line_id, layout, names, cells, CASE WHEN NOT whole THEN 'quoting' WHEN len(cells) <> n_fields THEN 'column_count'
+  WHEN regexp_full_match(name, '[\\s\\p{{Z}}]*', 's') OR regexp_matches(name, '[\\x00-\\x1f\\x7f-\\x{{9f}}\\x{{fffd}}]') OR NOT regexp_full_match(number, '[ \\t]*(?:[+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?[ \\t]*)?') THEN 'invalid_value' END AS reason FROM named)"""
+_CELL = lambda c: f"cells[list_position(names, '{c}')]"
+_TYPED = ", ".join(f"{f'try_cast(trim({_CELL(c)}) AS DOUBLE)' if c in records.TYPED else _CELL(c)} AS {c}" for c in records.COLUMNS)
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_status_by_source, p3_found, p3_unit_aliases, p3_units_by_source, p5_found, p5_stations_in_bands, p6_found, p6_typed_rows, p7_found, p7_flag_counts)}
 
 SQL: dict[str, str] = {
+    "p1_found": f"""WITH {base_sql.STAMPS} SELECT rec_id, CASE status WHEN 'ok' THEN strftime(utc, '%Y-%m-%dT%H:%M:%SZ') ELSE status END AS utc FROM stamp JOIN harmonize USING (rec_id)
+WHERE NOT (regexp_full_match(datetime, '{_ISO}') AND try_strptime(datetime, '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL)""",
+    "p1_status_by_source": f"""WITH {base_sql.STAMPS} SELECT source, status, count(*) AS n, strftime(min(utc), '%Y-%m-%dT%H:%M:%SZ') AS first_utc, strftime(max(utc), '%Y-%m-%dT%H:%M:%SZ') AS last_utc FROM harmonize LEFT JOIN stamp USING (rec_id) GROUP BY source, status""",
+    "p3_found": f"""WITH {base_sql.UNITS} SELECT rec_id, coalesce(round(value_source * factor * {base_sql.SCALE})::BIGINT, -1) AS value_ug FROM harmonize JOIN unit_of USING (rec_id) WHERE value_source IS NOT NULL AND NOT isnan(value_source) AND basis <> 'mg/L'""",
+    "p3_units_by_source": f"""WITH {base_sql.UNITS} SELECT source, basis, factor, count(*) AS n FROM harmonize JOIN unit_of USING (rec_id) GROUP BY source, basis, factor""",
+    "p6_found": f"WITH {FIELDS_SQL} SELECT line_id, reason FROM fields WHERE reason IS NOT NULL",
+    "p6_typed_rows": f"WITH {FIELDS_SQL} SELECT line_id, layout, {_TYPED} FROM fields WHERE reason IS NULL",
     "p5_found": """
 WITH n AS (SELECT station_id, latitude AS lat, longitude AS lon, count(*) AS n FROM harmonize
            WHERE station_id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 GROUP BY ALL),

@@ -13,13 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions import scalars as S
-from freshet.operators import frequencies, harmonize, models, proximity, series, stations, timestamps, unit_aliases
+from freshet.operators import frequencies, harmonize, proximity, series, stations, timestamps, unit_aliases
 from freshet.plans import base_sql
 from freshet.sources.tables import nan_to_null, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 
 # Means and medians of readings often lie on a rounding tie; a common factor moves them off it alike in both engines.
 NUDGE = 1.000000000001
@@ -27,7 +24,8 @@ NUDGE = 1.000000000001
 
 def nudged(sql: str) -> str:
     """``sql`` with each ``round(x, digits)`` after the common base taken of ``x * NUDGE``."""
-    head, body = (sql[: len(WITH)], sql[len(WITH) :]) if sql.startswith(WITH) else ("", sql)
+    at = sql.find(WITH[5:])
+    head, body = (sql[: at + len(WITH) - 5], sql[at + len(WITH) - 5 :]) if at >= 0 else ("", sql)
     out, k = "", 0
     while (at := body.find("round(", k)) >= 0:
         depth, comma, end = 0, None, at + 5
@@ -45,16 +43,24 @@ def nudged(sql: str) -> str:
     return head + out + body[k:]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = nudged(sql)
-        return f
+def registry():
+    """(queries, SQL, decorator that adds to them) of a module of plans."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    sqls: dict[str, str] = {}
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = nudged(sql)
+            return f
+
+        return add
 
-    return add
+    return queries, sqls, query
 
 
+QUERIES, SQL, query = registry()
 ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
 MIN_YEARS = 5
 
@@ -74,8 +80,11 @@ def long_record(spark: SparkSession, d: str) -> DataFrame:
     return nan_to_null(table(spark, d, "harmonize"))
 
 
-def stamped(spark: SparkSession, d: str, fill: bool = False) -> DataFrame:
-    """The long record, on request with values not converted yet filled by the unit stage, with ``ts``, the UTC instant of its stamp; null where the text fits no instant or two."""
+def stamped(spark: SparkSession, d: str, fill: bool = False, status: bool = False) -> DataFrame:
+    """The long record, on request with values not converted yet filled by the unit stage, with ``ts``, the UTC instant of its stamp; null where the text fits no instant or two.
+
+    ``status`` adds ``ts_status`` (see ``timestamps.normalize_timestamps``).
+    """
     h = long_record(spark, d)
     if fill:
         h = unit_aliases.fill_milligrams(h, table(spark, d, "ion_ref"))
@@ -84,7 +93,9 @@ def stamped(spark: SparkSession, d: str, fill: bool = False) -> DataFrame:
     zones = table(spark, d, "zone_ref").select("state_prov", F.col("zone").alias("__home"))
     other = h.filter(F.col("ts").isNull()).drop("ts").join(zones, "state_prov", "left")
     other = timestamps.normalize_timestamps(other, "datetime", "__home", "source").withColumn("ts", timestamps.instant("utc_seconds"))
-    return h.filter(F.col("ts").isNotNull()).unionByName(other.select(*h.columns))
+    also = [F.lit("ok").alias("ts_status")] if status else []
+    more = [F.col("utc_status").alias("ts_status")] if status else []
+    return h.filter(F.col("ts").isNotNull()).select(*h.columns, *also).unionByName(other.select(*h.columns, *more))
 
 
 def obs(spark: SparkSession, d: str) -> DataFrame:
@@ -278,18 +289,31 @@ def slope_bounds(spark, d):
     return trends(spark, d).select("station_id", "ion", R("slope_log_lo").alias("slope_log_lo"), R("slope_log_hi").alias("slope_log_hi"))
 
 
-@query()
+# Inversion counts of permutations by recursion, erfc by its series below 2 and by its continued fraction above.
+_ERFC = "CASE WHEN z < 2 THEN 1 - 1.1283791670955126 * list_sum(list_transform(range(0, 60), lambda k: pow(-1, k) * pow(z, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))) ELSE exp(-z * z) / 1.7724538509055159 / list_reduce(list_prepend(z, range(80, 0, -1)::DOUBLE[]), lambda acc, k: z + (k / 2.0) / acc) END"
+_P = f"""per AS (SELECT 1::BIGINT AS n, [1.0::DOUBLE] AS c UNION ALL SELECT n + 1, list_transform(range(0, n * (n + 1) // 2 + 1), lambda k: list_sum(c[greatest(1, k - n + 1)::BIGINT:(k + 1)::BIGINT])) FROM per WHERE n < 33),
+tied AS (SELECT station_id, ion, sum(t * (t - 1) // 2)::BIGINT AS ytie FROM (SELECT station_id, ion, value, count(*) AS t FROM ann GROUP BY ALL) GROUP BY ALL),
+ks AS (SELECT tr.*, tr.n_year_obs::BIGINT AS m, ytie, tr.nt::BIGINT AS pairs, (tr.nt::BIGINT - ytie - mk_s) // 2 AS dis, CASE WHEN sigma > 0 THEN abs(mk_s) / sigma / sqrt(2.0) END AS z FROM tr JOIN tied USING (station_id, ion)),
+pv AS (SELECT ks.*, CASE WHEN ytie = pairs THEN NULL WHEN ytie = 0 AND 4 * least(dis, pairs - dis) = m * (m - 1) THEN 1.0 WHEN ytie = 0 AND m <= 33 THEN least(1.0, 2 * list_sum(per.c[1:(least(dis, pairs - dis) + 1)::BIGINT]) / gamma(m + 1))
+  WHEN ytie = 0 AND least(dis, pairs - dis) = 0 THEN 2.0 / gamma(m + 1) WHEN ytie = 0 AND least(dis, pairs - dis) = 1 THEN 2.0 * m / gamma(m + 1) ELSE {_ERFC} END AS mk_p FROM ks LEFT JOIN per ON per.n = ks.m)"""
+RECURSIVE = f"WITH RECURSIVE {WITH[5:]}"
+
+
+@query(f"{RECURSIVE}, {_TREND}, {_P} SELECT station_id, ion, mk_s, round(mk_p, 6) AS mk_p FROM pv")
 def mann_kendall(spark, d):
-    """Two-sided p of each series (no SQL: it needs permutation counts or erfc)."""
-    return trends(spark, d, True).select("station_id", "ion", "mk_s", "mk_p")
+    """Kendall's S and its two-sided p for each series."""
+    return trends(spark, d, True).select("station_id", "ion", "mk_s", R("mk_p").alias("mk_p"))
 
 
-@query()
+_SURE = lambda sign: f"round(100 * avg((coalesce(mk_p < 0.05, false) AND slope_log_yr {sign} 0)::INT), 6)"
+
+
+@query(f"{RECURSIVE}, {_TREND}, {_P} SELECT ion, count(*) AS n, {_SURE('>')} AS rising_pct, {_SURE('<')} AS falling_pct FROM pv GROUP BY ROLLUP (ion)")
 def rising_share(spark, d):
     """Share of series that rise and that fall significantly, by ion and overall."""
     t = trends(spark, d, True)
     sure = F.coalesce(F.col("mk_p") < 0.05, F.lit(False))
-    share = lambda c: (100 * F.avg((sure & c).cast("int")))
+    share = lambda c: R(100 * F.avg((sure & c).cast("int")))
     return t.rollup("ion").agg(F.count("*").alias("n"), share(F.col("slope_log_yr") > 0).alias("rising_pct"), share(F.col("slope_log_yr") < 0).alias("falling_pct"))
 
 
@@ -490,116 +514,19 @@ def spatial_blocks(spark, d):
     return places(spark, d).groupBy(S.block_id("lat", "lon").alias("block")).agg(F.count("*").alias("n"))
 
 
-@query()
+_FOLDS = """sized AS (SELECT block, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, block) AS k FROM blocks GROUP BY block),
+fill AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS block, 0::BIGINT AS n, NULL::INT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load
+  UNION ALL SELECT s.k, s.block, s.n, list_position(f.load, list_min(f.load)) - 1,
+    list_transform(f.load, lambda x, i: CASE WHEN i = list_position(f.load, list_min(f.load)) THEN x + s.n ELSE x END) FROM fill f JOIN sized s ON s.k = f.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_PLACES}, blocks AS (SELECT concat_ws('_', floor(lat / 2)::BIGINT::VARCHAR, floor(lon / 2)::BIGINT::VARCHAR) AS block FROM places), {_FOLDS}
+SELECT block, n, fold FROM fill WHERE k > 0""")
 def group_folds(spark, d):
     """Spatial blocks in five folds of about equal size."""
     return stations.group_folds(places(spark, d).withColumn("block", S.block_id("lat", "lon")), "block")
 
 
-# ---- models --------------------------------------------------------------------------------------------------------
-
-_META = {"station_id", "ion", "n_year_obs", "base_year", "median_mgL", "slope_mgL_yr", "slope_log_yr", "slope_log_lo", "slope_log_hi", "mk_s", "base_level", "log_level", "block", "fold"}
-
-
-def _model_table(spark, d) -> tuple[DataFrame, list[str]]:
-    cov = nan_to_null(table(spark, d, "station_covariates"))
-    p = places(spark, d).select(F.col("id").alias("pid"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
-    t = trends(spark, d).join(cov, "station_id").join(p, F.col("station_id") == F.col("pid")).drop("pid")
-    t = t.withColumn("log_level", F.log1p("base_level"))
-    names = models.feature_columns(t, _META)
-    return models.assemble(t, names), ["ion", *names]
-
-
-@query()
-def gbt_level_cv(spark, d):
-    """Out-of-fold error of boosted trees for the log level with spatial blocks, by ion and overall."""
-    df, _ = _model_table(spark, d)
-    out = models.spatial_cv(df, models.gbt("log_level", 10))
-    overall = series.error_measures(out.withColumn("ion", F.lit("all")), "log_level", "guess", ["ion"])
-    return series.error_measures(out, "log_level", "guess", ["ion"]).unionByName(overall)
-
-
-@query()
-def forest_robustness(spark, d):
-    """Out-of-fold error of a random forest with all covariates and with either buffer only."""
-    df, names = _model_table(spark, d)
-    out = []
-    for label, drop in (("both", ()), ("500m_only", ("_5km",)), ("5km_only", ("_500m",))):
-        keep = [c for c in names if c != "ion" and not (drop and c.endswith(drop))]
-        x = models.assemble(df.drop("x", "__ion"), keep)
-        out.append(series.error_measures(models.spatial_cv(x, models.forest("log_level", 10)), "log_level", "guess").withColumn("features", F.lit(label)))
-    return harmonize.union_sources(*out)
-
-
-@query()
-def level_drivers(spark, d):
-    """Mean absolute Shapley attribution and gain importance of each feature of the level model, largest first."""
-    df, names = _model_table(spark, d)
-    df = df.cache()
-    model = models.gbt("log_level", 5, 4).fit(df)
-    gain = spark.createDataFrame(models.importance(model, names), "feature string, gain_pct double")
-    return models.mean_abs_shap(model, df, names).join(F.broadcast(gain), "feature").orderBy(F.desc("mean_abs_shap"), "feature").limit(15)
-
-
-def _typology(spark, d) -> tuple[DataFrame, list[str]]:
-    t = trends(spark, d)
-    f = stations.typology_features(stations.ion_wide(t, "base_level"), stations.ion_wide(t, "slope_log_yr", "slope_"), nan_to_null(table(spark, d, "station_covariates")))
-    return f, [c for c in f.columns if c != "station_id"]
-
-
-@query()
-def regimes(spark, d):
-    """Stations in five named regimes from log levels, ratios, slopes and landscape."""
-    f, cols = _typology(spark, d)
-    out, _ = models.kmeans_typology(f, cols)
-    centres = out.groupBy("cluster").agg(*[F.median(c).alias(c) for c in cols]).toPandas().set_index("cluster").sort_index()  # five rows
-    label = F.create_map(*[x for k, v in models.name_regimes(centres, cols).items() for x in (F.lit(k), F.lit(v))])
-    return out.groupBy(label[F.col("cluster")].alias("regime")).agg(F.count("*").alias("n"), *[R(F.median(c)).alias(c) for c in ("na_cl", "ca_mg", "slope_cl", "slope_so4")])
-
-
-@query()
-def regime_scan(spark, d):
-    """Silhouette for three to six clusters."""
-    f, cols = _typology(spark, d)
-    f = f.cache()
-    return spark.createDataFrame([(k, models.kmeans_typology(f, cols, k, 1)[1]) for k in range(3, 7)], "k int, silhouette double")
-
-
-@query()
-def baseline_temporal(spark, d):
-    """Boosted trees on the annual features, fitted up to 2013, against persistence, by split."""
-    f = series.temporal_split(series.features(annual(spark, d)))
-    names = ["lag1", "lag2", "lag3", "roll3", "roll5", "trail_slope", "years_seen", "year_c"]
-    x = models.assemble(f.withColumn("year_c", F.col("year")), names).cache()
-    out = models.gbt("log_value", 10).fit(x.filter("split = 'train'")).transform(x)
-    model = series.error_measures(out, "log_value", "guess", ["split"]).withColumn("model", F.lit("trees"))
-    return model.unionByName(series.error_measures(x, "log_value", "lag1", ["split"]).withColumn("model", F.lit("persistence")))
-
-
-@query()
-def climate_response(spark, d):
-    """Median climate factor by scenario and ion: the level model asked again with shifted climate."""
-    deltas = nan_to_null(table(spark, d, "cmip6_deltas"))
-    cov = nan_to_null(table(spark, d, "station_covariates"))
-    names = [c for c in cov.columns if c != "station_id"]
-    t = trends(spark, d).withColumn("log_level", F.log1p("base_level")).select("station_id", "ion", "base_level", "log_level").cache()
-    base = models.assemble(t.join(cov, "station_id"), names)
-    model = models.gbt("log_level", 10).fit(base)
-    before = model.transform(base).select("station_id", "ion", F.col("guess").alias("g0"))
-    parts = []
-    for s in ("ssp245", "ssp585"):
-        x = models.assemble(t.join(stations.climate_shift(cov, deltas, s), "station_id"), names)
-        after = model.transform(x).select("station_id", "ion", F.col("guess").alias("g1"))
-        parts.append(before.join(after, ["station_id", "ion"]).select("ion", F.lit(s).alias("scenario"), F.exp(F.col("g1") - F.col("g0")).alias("factor")))
-    return parts[0].unionByName(parts[1]).rollup("scenario", "ion").agg(F.median("factor").alias("median_factor"), F.count("*").alias("n")).filter("scenario is not null")
-
-
-@query("SELECT y::INT AS first_year, least(y + 8, 2025)::INT AS last_year FROM range(1990, 2026, 9) AS t(y)")
-def year_windows(spark, d):
-    """Request windows of nine years."""
-    return spark.range(1990, 2026, 9).select(F.col("id").cast("int").alias("first_year"), F.least(F.col("id") + 8, F.lit(2025)).cast("int").alias("last_year"))
-
-
 @query(f"{WITH}, {_TREND} SELECT station_id, {', '.join(f'max((ion = {k!r})::INT)::INT AS ion_{k}' for k in _IONS)} FROM tr GROUP BY station_id")
 def ion_one_hot(spark, d):
     """Which ions a station has, as 0/1 columns."""

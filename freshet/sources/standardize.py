@@ -43,7 +43,7 @@ def _long(df: DataFrame, **cols: Column) -> DataFrame:
 def _utc(text: Column) -> Column:
     """Stamps with Z or an offset as UTC wall clock, without one as they stand; a date alone at midnight."""
     offset = F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    return F.coalesce(F.to_utc_timestamp(F.convert_timezone(F.current_timezone(), F.lit("UTC"), offset.cast("timestamp_ntz")), "UTC").cast("timestamp_ntz"), parse_datetime(text, "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"))
+    return F.coalesce(F.to_utc_timestamp(F.convert_timezone(F.current_timezone(), F.lit("UTC"), offset.cast("timestamp_ntz")), "UTC").cast("timestamp_ntz"), parse_datetime(text, "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"))
 
 
 def wqx(df: DataFrame, source: str) -> DataFrame:
@@ -100,10 +100,11 @@ def ontario(results: DataFrame, stations: DataFrame) -> DataFrame:
 
 def bc_ems(df: DataFrame) -> DataFrame:
     """Provincial monitoring results; only the letter < marks below detection."""
-    name = F.col("PARAMETER")
+    opt = lambda c: pick(df, c, required=False)
+    name, sid = pick(df, "PARAMETER"), F.trim(pick(df, "EMS_ID"))
     return _long(
-        df, source=F.lit("BC_EMS"), station_id=F.concat(F.lit("BCEMS-"), F.col("EMS_ID")), station_id_source=F.col("EMS_ID"), latitude=parse_number("LATITUDE"), longitude=parse_number("LONGITUDE"),
-        country=F.lit("CA"), state_prov=F.lit("BC"), site_type=pick(df, "LOCATION_TYPE", required=False), datetime=parse_datetime("COLLECTION_START", "yyyyMMddHHmmss"), ion=standard_ion(name),
-        value_source=parse_number("RESULT"), unit_source=F.col("UNIT"), below_flag=F.when(F.trim("RESULT_LETTER") == "<", "<").otherwise(""), detection_limit=parse_number(pick(df, "METHOD_DETECTION_LIMIT", required=False)),
+        df, source=F.lit("BC_EMS"), station_id=F.concat(F.lit("BCEMS-"), sid), station_id_source=sid, latitude=parse_number(opt("LATITUDE")), longitude=parse_number(opt("LONGITUDE")),
+        country=F.lit("CA"), state_prov=F.lit("BC"), site_type=opt("LOCATION_TYPE"), datetime=parse_datetime(F.trim(pick(df, "COLLECTION_START")), "yyyyMMddHHmmss"), ion=standard_ion(name),
+        value_source=parse_number(opt("RESULT")), unit_source=opt("UNIT"), below_flag=F.when(opt("RESULT_LETTER") == "<", "<").otherwise(""), detection_limit=parse_number(opt("METHOD_DETECTION_LIMIT")),
         fraction=fraction_class(name), characteristic_source=name,
     )
