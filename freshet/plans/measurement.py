@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from freshet.functions import scalars as S
 from freshet.operators import frequencies, harmonize, proximity, series, stations, timestamps, unit_aliases
 from freshet.plans import base_sql
-from freshet.sources.tables import nan_to_null, table
+from freshet.session import reliable_checkpoint
+from freshet.sources.tables import file_state, nan_to_null, table
 
 
 # Means and medians of readings often lie on a rounding tie; a common factor moves them off it alike in both engines.
@@ -98,7 +99,22 @@ def stamped(spark: SparkSession, d: str, fill: bool = False, status: bool = Fals
     return h.filter(F.col("ts").isNotNull()).select(*h.columns, *also).unionByName(other.select(*h.columns, *more))
 
 
+_BASES: dict[tuple, DataFrame] = {}
+#: Bases that are kept for later queries of a session.
+MOST_BASES = 4
+
+
 def obs(spark: SparkSession, d: str) -> DataFrame:
+    """The common base, written once per session and state of its files: like the master record it is made once and read by every analysis."""
+    key = (spark.sparkContext.applicationId, d, spark.conf.get("spark.sql.session.timeZone"), *[x for t in ("harmonize", "zone_ref", "ion_ref") for x in file_state(spark, f"{d}/{t}.parquet")])
+    if key not in _BASES:
+        while len(_BASES) >= MOST_BASES:
+            _BASES.pop(next(iter(_BASES)))
+        _BASES[key] = reliable_checkpoint(make_obs(spark, d))
+    return _BASES[key]
+
+
+def make_obs(spark: SparkSession, d: str) -> DataFrame:
     h = stamped(spark, d, fill=True).filter(F.col("ion").isNotNull() & (F.col("value_mg_L") > 0) & F.col("ts").isNotNull() & F.col("station_id").isNotNull())
     # Copies and redelivered readings share visit and value, though not always the instant, which some deliver by date alone; other readings of the visit stay.
     h = h.withColumn("__visit", F.coalesce(F.col("visit_no").cast("string"), F.col("ts").cast("string"))).withColumn("__same", F.round("value_mg_L", 6))

@@ -78,3 +78,11 @@ def test_copies_and_redelivered_readings_count_once(spark, folder):
     )
     assert sorted(r.rec_id for r in measurement.obs(spark, d).collect()) == [1, 4, 5, 6, 7, 8]
     assert [(r.value, r.n_obs_year) for r in measurement.QUERIES["annual_means"](spark, d).collect()] == [(pytest.approx(182 / 6), 6)]
+
+
+def test_the_base_is_made_again_when_its_files_change(spark, folder, tmp_path):
+    d = folder({}, {"station_id": "t"})
+    assert measurement.obs(spark, d).count() == 2 and measurement.obs(spark, d) is measurement.obs(spark, d)
+    h = spark.read.parquet(f"{d}/harmonize.parquet")
+    spark.createDataFrame(h.collect() + [r.__class__(*[99 if c == "rec_id" else "u" if c == "station_id" else v for c, v in zip(h.columns, r)]) for r in h.collect()[:1]], h.schema).write.mode("overwrite").parquet(f"{d}/harmonize.parquet")
+    assert {r.station_id for r in measurement.obs(spark, d).collect()} == {"s", "t", "u"}
