@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators import plausibility, proximity, timestamps, unit_aliases
+from freshet.operators import frequencies, plausibility, proximity, timestamps, unit_aliases
 from freshet.plans import base_sql
 from freshet.sources import records
+from freshet.session import reliable_checkpoint
 from freshet.sources.tables import table
 
 
@@ -30,8 +31,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_unit_aliases(spark: SparkSession, d: str) -> DataFrame:
-    """The alias dictionary of all distinct unit spellings."""
-    return unit_aliases.alias_dictionary(table(spark, d, "harmonize"), "unit_source").select("spelling", "unit_text", "basis", "factor", F.round("cost", 3).alias("cost"))
+    """The alias dictionary of all distinct unit spellings: basis, and factor to ug/L, ueq/L or umol/L."""
+    found = unit_aliases.alias_dictionary(table(spark, d, "harmonize"), "unit_source")
+    return found.select("spelling", "basis", F.when(F.col("basis") != "none", F.col("factor")).alias("factor"))
 
 
 def p3_units_by_source(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +69,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return plausibility.found(table(spark, d, "harmonize"))
 
 
+def p7_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Exact median of every series that is judged, by cumulative frequencies."""
+    state = frequencies.value_counts(plausibility.judged(table(spark, d, "harmonize")), ["station_id", "ion"], F.col("value"))
+    return frequencies.medians(reliable_checkpoint(state), ["station_id", "ion"]).select("station_id", "ion", F.round("median", 6).alias("median"), "n")
+
+
 def p7_flag_counts(spark: SparkSession, d: str) -> DataFrame:
     """Flagged visit values by ion and flag."""
     names = F.when(F.col("flag") == 1, "spike").when(F.col("flag") == 2, "stuck").otherwise("out_of_range")
@@ -95,13 +103,14 @@ fields AS (SELECT line_id, layout, names, cells, CASE WHEN NOT whole THEN 'quoti
 _CELL = lambda c: f"cells[list_position(names, '{c}')]"
 _TYPED = ", ".join(f"{f'try_cast(trim({_CELL(c)}) AS DOUBLE)' if c in records.TYPED else _CELL(c)} AS {c}" for c in records.COLUMNS)
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_status_by_source, p3_found, p3_unit_aliases, p3_units_by_source, p5_found, p5_stations_in_bands, p6_found, p6_typed_rows, p7_found, p7_flag_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_status_by_source, p3_found, p3_unit_aliases, p3_units_by_source, p5_found, p5_stations_in_bands, p6_found, p6_typed_rows, p7_found, p7_medians, p7_flag_counts)}
 
 SQL: dict[str, str] = {
     "p1_found": f"""WITH {base_sql.STAMPS} SELECT rec_id, CASE status WHEN 'ok' THEN strftime(utc, '%Y-%m-%dT%H:%M:%SZ') ELSE status END AS utc FROM stamp JOIN harmonize USING (rec_id)
 WHERE NOT (regexp_full_match(datetime, '{_ISO}') AND try_strptime(datetime, '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL)""",
     "p1_status_by_source": f"""WITH {base_sql.STAMPS} SELECT source, status, count(*) AS n, strftime(min(utc), '%Y-%m-%dT%H:%M:%SZ') AS first_utc, strftime(max(utc), '%Y-%m-%dT%H:%M:%SZ') AS last_utc FROM harmonize LEFT JOIN stamp USING (rec_id) GROUP BY source, status""",
     "p3_found": f"""WITH {base_sql.UNITS} SELECT rec_id, coalesce(round(value_source * factor * {base_sql.SCALE})::BIGINT, -1) AS value_ug FROM harmonize JOIN unit_of USING (rec_id) WHERE value_source IS NOT NULL AND NOT isnan(value_source) AND basis <> 'mg/L'""",
+    "p3_unit_aliases": f"""WITH {base_sql.UNITS} SELECT u.unit_source AS spelling, coalesce(o.basis, 'none') AS basis, o.factor FROM (SELECT DISTINCT unit_source FROM harmonize WHERE unit_source IS NOT NULL) u LEFT JOIN own o USING (unit_source)""",
     "p3_units_by_source": f"""WITH {base_sql.UNITS} SELECT source, basis, factor, count(*) AS n FROM harmonize JOIN unit_of USING (rec_id) GROUP BY source, basis, factor""",
     "p6_found": f"WITH {FIELDS_SQL} SELECT line_id, reason FROM fields WHERE reason IS NOT NULL",
     "p6_typed_rows": f"WITH {FIELDS_SQL} SELECT line_id, layout, {_TYPED} FROM fields WHERE reason IS NULL",
@@ -119,6 +128,8 @@ WITH n AS (SELECT station_id, latitude AS lat, longitude AS lon, count(*) AS n F
 p AS (SELECT station_id, lat, lon FROM n QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY n DESC, lat, lon) = 1)
 SELECT g.grid_id, count(*) AS n_stations FROM cmip6_grid g JOIN p
   ON p.lat BETWEEN g.latitude - 1.5 AND g.latitude + 1.5 AND p.lon BETWEEN g.longitude - 1.5 AND g.longitude + 1.5 GROUP BY g.grid_id""",
+    "p7_medians": """SELECT station_id, ion, round(median(value_mg_L), 6) AS median, count(*) AS n FROM harmonize
+WHERE ion IS NOT NULL AND station_id IS NOT NULL AND visit_no IS NOT NULL AND value_mg_L IS NOT NULL AND NOT isnan(value_mg_L) AND below_detection = false GROUP BY station_id, ion""",
     "p7_found": """
 WITH j AS (SELECT rec_id, station_id, ion, visit_no, value_mg_L + 0.0 AS v FROM harmonize
            WHERE ion IS NOT NULL AND station_id IS NOT NULL AND visit_no IS NOT NULL AND value_mg_L IS NOT NULL AND NOT isnan(value_mg_L) AND below_detection = false),
