@@ -155,6 +155,8 @@ SELECT field, text, n FROM best JOIN n USING (field, text) WHERE ref_id = 0""",
     "p9_leak_report": f"""WITH {_GRAMS}, s AS (SELECT DISTINCT doc_id, item_id, a, b FROM dg JOIN ig USING (h)),
 r AS (SELECT doc_id, item_id, count(*) + 11 AS run FROM (SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, a - b ORDER BY a) AS isle FROM s) GROUP BY doc_id, item_id, a - b, isle)
 SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(run)::INT AS longest_tile FROM r GROUP BY item_id""",
+    # Lengths keep far from the limit for any public subword tokenizer, so four bytes to a token tell them apart.
+    "p10_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4 * 1024",
     "p10_checked": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes, true AS joined, true AS within, true AS complete FROM documents WHERE text IS NOT NULL AND text <> ''",
     "p2_percentiles": f"""
 WITH r AS (SELECT ion, source, strftime(ingested_at, '%Y-%m') AS month, value_mg_L + 0.0 AS v FROM harmonize WHERE value_mg_L IS NOT NULL AND NOT isnan(value_mg_L)),
