@@ -81,7 +81,7 @@ def drop_duplicate_keys(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """``column_name, n_rows, n_missing`` of every column (null, or NaN in numbers), in one pass."""
+    """``column_name, n_rows, n_missing, kind`` of every column (missing: null, or NaN in numbers; kind: its type), in one pass."""
     missing = [F.sum(F.when(F.col(f.name).isNull() | (F.isnan(f.name) if f.dataType.typeName() in ("double", "float") else F.lit(False)), 1).otherwise(0)).alias(f.name) for f in df.schema]
     one = df.agg(F.count("*").alias("__n"), *missing)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("__n").alias("n_rows"), F.coalesce(F.col(c), F.lit(0)).alias("n_missing")) for c in df.columns])).alias("x")).select("x.*")
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("__n").alias("n_rows"), F.coalesce(F.col(c), F.lit(0)).alias("n_missing"), F.lit(t).alias("kind")) for c, t in df.dtypes])).alias("x")).select("x.*")

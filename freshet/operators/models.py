@@ -135,13 +135,20 @@ def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df``, missing numbers filled, with the vector ``x`` of the standardised columns; written once, since every fit reads it."""
-    x = VectorAssembler(inputCols=columns, outputCol="__raw").transform(impute_medians(df, columns))
+    """``df``, missing numbers filled, with the vector ``x`` of the standardised columns; written once, since every fit reads it.
+
+    A column without any number is filled with 0. Without rows there is nothing to scale, and ``x`` is what was assembled.
+    """
+    x = VectorAssembler(inputCols=columns, outputCol="__raw").transform(impute_medians(df, columns).fillna(0.0, columns))
+    if x.isEmpty():
+        return x.withColumnRenamed("__raw", "x")
     return reliable_checkpoint(StandardScaler(inputCol="__raw", outputCol="x", withMean=True).fit(x).transform(x).drop("__raw"))
 
 
-def best_clusters(x: DataFrame, k: int, starts: int) -> KMeansModel:
-    """The k-means model of least cost over several starts, which run side by side."""
+def best_clusters(x: DataFrame, k: int, starts: int) -> KMeansModel | None:
+    """The k-means model of least cost over several starts, which run side by side; none where there are fewer rows than clusters."""
+    if x.limit(k).count() < k:
+        return None
     one = inheritable_thread_target(x.sparkSession)(lambda seed: KMeans(featuresCol="x", predictionCol="cluster", k=k, seed=seed).fit(x))
     with ThreadPool(min(starts, 8)) as pool:
         return min(pool.map(one, range(starts)), key=lambda m: m.summary.trainingCost)

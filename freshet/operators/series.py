@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 from freshet.operators.frequencies import numbered
 
 SERIES = ["station_id", "ion"]
-#: Rows of the total order that one window takes where trailing means run over series borders.
+#: Rows of the total order that one window takes where trailing means run over series borders; five at least.
 STRETCH = 100_000
 
 

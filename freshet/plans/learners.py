@@ -210,12 +210,16 @@ def typology_table(spark, d):
 def _regimes(spark, d, k: int = 5, starts: int = 20):
     f, cols = typology(spark, d)
     x = models.standardized(f, cols)
-    return models.best_clusters(x, k, starts).transform(x), cols
+    model = models.best_clusters(x, k, starts)
+    return model.transform(x) if model else x.limit(0).withColumn("cluster", F.lit(0)), cols
 
 
 @query()
 def regimes(spark, d):
-    """Stations in five named regimes from log levels, ratios, slopes and landscape: size and the median of every feature."""
+    """Stations in five named regimes from log levels, ratios, slopes and landscape: size and the median of every feature.
+
+    Fewer than five stations make no regimes.
+    """
     x, cols = _regimes(spark, d)
     medians = x.groupBy("cluster").agg(F.count("*").alias("n"), *[F.median(c).alias(c) for c in cols])
     centres = medians.toPandas().set_index("cluster").sort_index()  # five rows
@@ -229,5 +233,6 @@ def regime_scan(spark, d):
     """Euclidean silhouette for three to six clusters, ten starts each."""
     f, cols = typology(spark, d)
     x = models.standardized(f, cols)
-    rows = [(k, models.silhouette(models.best_clusters(x, k, 10).transform(x), "station_id")) for k in range(3, 7)]
+    fits = {k: models.best_clusters(x, k, 10) for k in range(3, 7)}
+    rows = [(k, models.silhouette(m.transform(x), "station_id")) for k, m in fits.items() if m]
     return spark.createDataFrame(rows, "k int, silhouette double")

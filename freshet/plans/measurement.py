@@ -155,7 +155,7 @@ def source_summary(spark, d):
 
 @query(
     " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count(*) AS n_rows, coalesce(sum(CASE WHEN {c} IS NULL{f' OR isnan({c})' if n else ''} THEN 1 ELSE 0 END), 0)::BIGINT AS n_missing FROM harmonize"
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, coalesce(sum(CASE WHEN {c} IS NULL{f' OR isnan({c})' if n else ''} THEN 1 ELSE 0 END), 0)::BIGINT AS n_missing, '{'double' if n else 'string'}' AS kind FROM harmonize"
         for c, n in (("source", 0), ("station_id", 0), ("latitude", 1), ("longitude", 1), ("datetime", 0), ("ion", 0), ("value_source", 1), ("unit_source", 0), ("fraction", 0), ("value_mg_L", 1))
     )
 )
@@ -481,12 +481,13 @@ def delta_summary(spark, d):
     return g.select(cells.alias("c")).select("c.*").groupBy("band").agg(R(F.avg("v")).alias("mean"), R(F.min("v")).alias("least"), R(F.max("v")).alias("most"), F.count("v").alias("n"))
 
 
-@query(f"""WITH m AS (SELECT station_id, {_NN(_DELTAS)} FROM cmip6_deltas), u AS (SELECT station_id, 'ssp245' AS model, dtemp_ssp245 AS v FROM m UNION ALL SELECT station_id, 'ssp585', dtemp_ssp585 FROM m)
-SELECT station_id, round(avg(v), 6) AS mean_delta, count(v) AS n_models FROM u GROUP BY station_id""")
-def ensemble_mean(spark, d):
+@query(f"""WITH m AS (SELECT station_id, {_NN(_DELTAS)} FROM cmip6_deltas), u AS (SELECT station_id, 'ssp245' AS scenario, dtemp_ssp245 AS v FROM m UNION ALL SELECT station_id, 'ssp585', dtemp_ssp585 FROM m)
+SELECT station_id, round(avg(v), 6) AS mean_delta, count(v) AS n_scenarios FROM u GROUP BY station_id""")
+def scenario_mean_delta(spark, d):
+    """Mean warming over the scenarios of each station."""
     m = nan_to_null(table(spark, d, "cmip6_deltas"))
     u = harmonize.union_sources(*[m.select("station_id", F.col(f"dtemp_{s}").alias("v")) for s in ("ssp245", "ssp585")])
-    return u.groupBy("station_id").agg(R(F.avg("v")).alias("mean_delta"), F.count("v").alias("n_models"))
+    return u.groupBy("station_id").agg(R(F.avg("v")).alias("mean_delta"), F.count("v").alias("n_scenarios"))
 
 
 @query(f"{WITH} SELECT ion, round(regr_slope(value, year), 6) AS slope, round(corr(value, year), 6) AS r, count(*) AS n FROM ann GROUP BY ion")
@@ -508,9 +509,12 @@ def grid_near_station(spark, d):
     return stations.grid_near_stations(table(spark, d, "cmip6_grid").select("grid_id", "latitude", "longitude"), places(spark, d)).select("grid_id")
 
 
-@query("SELECT printf('g%04d', row_number() OVER (ORDER BY la.x, lo.x) - 1) AS grid_id, la.x::DOUBLE AS latitude, lo.x::DOUBLE AS longitude FROM range(24, 61, 3) AS la(x), range(-141, -51, 3) AS lo(x)")
+@query(f"""WITH {_PLACES}, l AS (SELECT printf('g%04d', row_number() OVER (ORDER BY la.x, lo.x) - 1) AS grid_id, la.x::DOUBLE AS latitude, lo.x::DOUBLE AS longitude FROM range(24, 61, 3) AS la(x), range(-141, -51, 3) AS lo(x))
+SELECT * FROM l WHERE EXISTS (SELECT 1 FROM places p WHERE abs(p.lat - l.latitude) + abs(p.lon - l.longitude) <= 5.0)""")
 def lattice(spark, d):
-    return stations.climate_lattice(table(spark, d, "region"), 3, (24, 60), (-141, -52))
+    """The climate lattice of the continent, as far as stations lie near."""
+    sites = places(spark, d)
+    return stations.grid_near_stations(stations.climate_lattice(sites, 3, (24, 60), (-141, -52)), sites).select("grid_id", "latitude", "longitude")
 
 
 @query(f"""WITH {_PLACES}, g AS (SELECT latitude, longitude, {_NN(['dtemp_ssp245'])} FROM cmip6_grid), o AS (SELECT min(latitude) AS lat0, min(longitude) AS lon0 FROM g),
@@ -543,10 +547,10 @@ def group_folds(spark, d):
     return stations.group_folds(places(spark, d).withColumn("block", S.block_id("lat", "lon")), "block")
 
 
-@query(f"{WITH}, {_TREND} SELECT station_id, {', '.join(f'max((ion = {k!r})::INT)::INT AS ion_{k}' for k in _IONS)} FROM tr GROUP BY station_id")
+@query(f"{WITH}, {_TREND} SELECT station_id, ion, {', '.join(f'(ion = {k!r})::INT AS ion_{k}' for k in _IONS)}, round(base_level, 6) AS base_level FROM tr")
 def ion_one_hot(spark, d):
-    """Which ions a station has, as 0/1 columns."""
-    return trends(spark, d).groupBy("station_id").agg(*[F.max(F.when(F.col("ion") == k, 1).otherwise(0)).alias(f"ion_{k}") for k in _IONS])
+    """Trend rows with the ion as 0/1 columns."""
+    return trends(spark, d).select("station_id", "ion", *[(F.col("ion") == k).cast("int").alias(f"ion_{k}") for k in _IONS], R("base_level").alias("base_level"))
 
 
 @query("SELECT station_id FROM (SELECT station_id, row_number() OVER (ORDER BY station_id) AS k FROM (SELECT DISTINCT station_id FROM cmip6_deltas)) WHERE (k - 1) % 7 = 0")

@@ -1,7 +1,8 @@
 """A source for services that answer by region and time window: one partition per request, filters pushed down.
 
 The service itself is a plain function, named as ``package.module:function``, that takes (region, first year, last
-year) and returns a list of tuples in the order of the schema. Without a network it can read a landing zone.
+year, characteristics; none named: all) and returns a list of tuples in the order of the schema. Without a network it
+can read a landing zone.
 """
 
 from __future__ import annotations
@@ -18,26 +19,37 @@ def year_windows(first: int, last: int, width: int) -> list[tuple[int, int]]:
     return [(y, min(y + width - 1, last)) for y in range(first, last + 1, width)]
 
 
+def _function(name: str):
+    module, attribute = name.split(":")
+    return getattr(import_module(module), attribute)
+
+
 class Request(InputPartition):
-    def __init__(self, region: str, first: int, last: int):
-        self.region, self.first, self.last = region, first, last
+    def __init__(self, region: str, first: int, last: int, characteristics: tuple[str, ...]):
+        self.region, self.first, self.last, self.characteristics = region, first, last, characteristics
 
 
 class WindowedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
+        parted = lambda name: tuple(x for x in options.get(name, "").split(",") if x)
         self.fetch = options["fetch"]
-        self.regions = [r for r in options["regions"].split(",") if r]
+        self.regions = list(parted("regions") or _function(options["catalogue"])())
+        self.characteristics = parted("characteristics")
         self.first, self.last, self.width = int(options.get("first", 1990)), int(options.get("last", 2025)), int(options.get("width", 9))
         self.tries, self.pause = int(options.get("tries", 4)), float(options.get("pause", 2))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Region and year bounds narrow the requests; all filters are applied again by Spark."""
+        """Region, characteristic and year bounds narrow the requests; all filters are applied again by Spark."""
         for f in filters:
             name = f.attribute[0] if hasattr(f, "attribute") else None
-            if name == "region" and isinstance(f, EqualTo):
-                self.regions = [r for r in self.regions if r == f.value]
-            elif name == "region" and isinstance(f, In):
-                self.regions = [r for r in self.regions if r in f.value]
+            among = (f.value,) if isinstance(f, EqualTo) else tuple(f.value) if isinstance(f, In) else None
+            if name == "region" and among is not None:
+                self.regions = [r for r in self.regions if r in among]
+            elif name == "characteristic" and among is not None:
+                self.characteristics = tuple(c for c in self.characteristics if c in among) if self.characteristics else among
+                self.regions = self.regions if self.characteristics else []
+            elif name == "year" and isinstance(f, EqualTo):
+                self.first, self.last = max(self.first, f.value), min(self.last, f.value)
             elif name == "year" and isinstance(f, GreaterThanOrEqual):
                 self.first = max(self.first, f.value)
             elif name == "year" and isinstance(f, LessThanOrEqual):
@@ -45,14 +57,13 @@ class WindowedReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Request]:
-        return [Request(r, a, b) for r in self.regions for a, b in year_windows(self.first, self.last, self.width)]
+        return [Request(r, a, b, self.characteristics) for r in self.regions for a, b in year_windows(self.first, self.last, self.width)]
 
     def read(self, partition: Request) -> Iterator[tuple]:
-        module, name = self.fetch.split(":")
-        call = getattr(import_module(module), name)
+        call = _function(self.fetch)
         for k in range(self.tries):
             try:
-                rows = call(partition.region, partition.first, partition.last)
+                rows = call(partition.region, partition.first, partition.last, partition.characteristics)
                 break
             except OSError:
                 if k == self.tries - 1:
@@ -62,14 +73,18 @@ class WindowedReader(DataSourceReader):
 
 
 class WindowedSource(DataSource):
-    """``spark.read.format("windowed")`` with options fetch, regions, first, last, width, tries, pause and a schema that holds region and year."""
+    """``spark.read.format("windowed")`` with a schema that holds region and year, and the options fetch, regions or
+    catalogue, characteristics, first, last, width, tries, pause.
+
+    ``catalogue`` names a function that lists the regions where ``regions`` is not given.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "windowed"
 
     def schema(self) -> str:
-        return "region string, year int, station_id string, value double"
+        return self.options.get("columns", "region string, year int, station_id string, characteristic string, value double, unit string")
 
     def reader(self, schema) -> WindowedReader:
         return WindowedReader(self.options)

@@ -91,7 +91,7 @@ def test_kendall_p_fixtures():
     assert series.kendall_p_value(3, 4, 6, 0) is None
 
 
-def test_features(spark):
+def test_features(spark, monkeypatch):
     rows = [("a", "x", y, math.expm1(v)) for y, v in zip((1, 2, 3, 4), (1, 2, 3, 4))] + [("b", "x", y, math.expm1(v)) for y, v in zip((1, 2, 3, 4), (10, 20, 30, 40))]
     df = spark.createDataFrame(rows, "station_id string, ion string, year int, value double")
     pick = lambda d, s, c: [None if r[0] is None else round(r[0], 6) for r in values(d.filter(F.col("station_id") == s).orderBy("year"), c)]
@@ -99,6 +99,8 @@ def test_features(spark):
     assert pick(f, "b", "lag1") == [None, 10, 20, 30] and pick(f, "a", "years_seen") == [0, 1, 2, 3]
     assert pick(f, "a", "roll3") == [None, 1, 1.5, 2] and pick(f, "b", "roll3") == [None, 10, 15, 20]
     assert pick(series.features(df, compat=True), "b", "roll3") == [2.5, 6.5, 15, 20]
+    monkeypatch.setattr(series, "STRETCH", 5)  # stretches that cut through series and means alike
+    assert pick(series.features(df, compat=True), "b", "roll3") == [2.5, 6.5, 15, 20]
     df = spark.createDataFrame([("a", "x", 2000 + i, math.expm1(v)) for i, v in enumerate((1, 2, 4, 8))], df.schema)
     assert pick(series.features(df), "a", "trail_slope") == [None, None, None, 1.5]
 

@@ -4,17 +4,23 @@ import time
 
 from pyspark.sql import functions as F
 
-from freshet.sources.connector import WindowedSource, year_windows
+from freshet.sources.connector import WindowedReader, WindowedSource, year_windows
 from freshet.streaming import ingest
 
-CALLS = []
+CALLS, ASKED = [], []
 
 
-def fake_service(region, first, last):
+def fake_catalogue():
+    return ["ny", "on"]
+
+
+def fake_service(region, first, last, characteristics):
     if region == "flaky" and not CALLS:
         CALLS.append(1)
         raise OSError("try again")
-    return [(region, y, f"{region}-1", float(y)) for y in range(first, last + 1)]
+    ASKED.append((region, first, last, characteristics))
+    names = characteristics or ("Chloride", "Sodium")
+    return [(region, y, f"{region}-1", c, float(y), "mg/L") for y in range(first, last + 1) for c in names]
 
 
 def test_windows():
@@ -25,7 +31,19 @@ def test_windowed_source(spark):
     spark.dataSource.register(WindowedSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     df = spark.read.format("windowed").options(fetch="tests.test_streaming_and_connector:fake_service", regions="ny,on,flaky", first=2000, last=2009, width=4, pause=0).load()
-    assert df.count() == 30 and df.filter("region = 'ny' and year >= 2005").count() == 5
+    assert df.count() == 60 and df.filter("region = 'ny' and year >= 2005").count() == 10
+    assert df.filter("characteristic = 'Sodium' and region in ('ny', 'on') and year = 2003").count() == 2
+    listed = spark.read.format("windowed").options(fetch="tests.test_streaming_and_connector:fake_service", catalogue="tests.test_streaming_and_connector:fake_catalogue", characteristics="Chloride,Sodium", first=2000, last=2001).load()
+    assert listed.count() == 8 and listed.filter("characteristic = 'Calcium'").count() == 0 and listed.filter("characteristic = 'Sodium'").select("region").distinct().count() == 2
+
+
+def test_what_is_asked_of_the_service():
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In
+
+    r = WindowedReader({"fetch": "tests.test_streaming_and_connector:fake_service", "regions": "ny,on", "first": "2000", "last": "2009", "width": "5"})
+    list(r.pushFilters([EqualTo(("characteristic",), "Sodium"), In(("region",), ("on", "qc")), GreaterThanOrEqual(("year",), 2004)]))
+    assert [(p.region, p.first, p.last, p.characteristics) for p in r.partitions()] == [("on", 2004, 2008, ("Sodium",)), ("on", 2009, 2009, ("Sodium",))]
+    assert {x[3] for x in r.read(r.partitions()[1])} == {"Sodium"}
 
 
 def test_stream(spark, tmp_path):
