@@ -59,7 +59,9 @@ class WindowedReader(DataSourceReader):
     def partitions(self) -> list[Request]:
         return [Request(r, a, b, self.characteristics) for r in self.regions for a, b in year_windows(self.first, self.last, self.width)]
 
-    def read(self, partition: Request) -> Iterator[tuple]:
+    def read(self, partition: Request | None) -> Iterator[tuple]:
+        if partition is None:  # what is left to ask for after the filters: nothing
+            return
         call = _function(self.fetch)
         for k in range(self.tries):
             try:
