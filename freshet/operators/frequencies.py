@@ -62,16 +62,19 @@ def ranked(state: DataFrame, groups: list[str], ranks: Callable[[Column], Column
 
     ``state`` comes from ``bucketed`` for these groups or finer ones, which are rolled up; null keys are groups. Rows of one
     bucket lie together, so roll-up, running sums and totals stay where they are; only the totals (a row per group and
-    bucket) travel.
+    bucket) travel, and what is joined back is a row per group and rank.
     """
     group = F.struct(*[F.coalesce(F.col(g).cast("string"), F.lit("\u0000null")) for g in groups]) if groups else F.struct(F.lit("all"))
     totals = state.groupBy("__bucket", group.alias("__group")).agg(F.sum("n").alias("__sum"))
     ordered = Window.partitionBy("__group").orderBy("__bucket")
-    totals = totals.select("__bucket", "__group", (F.sum("__sum").over(ordered) - F.col("__sum")).alias("__before"), F.sum("__sum").over(Window.partitionBy("__group")).alias("__n"))
+    totals = totals.select("__bucket", "__group", "__sum", (F.sum("__sum").over(ordered) - F.col("__sum")).alias("__before"), F.sum("__sum").over(Window.partitionBy("__group")).alias("__n"))
+    # What is sought in each bucket: at most a row per group and rank, however many buckets there are.
+    here = F.filter(ranks(F.col("__n")), lambda t: (t["rank"] > F.col("__before")) & (t["rank"] <= F.col("__before") + F.col("__sum")))
+    sought = totals.select("__bucket", "__group", "__n", F.transform(here, lambda t: F.struct(t["target"].alias("target"), (t["rank"] - F.col("__before")).alias("rank"))).alias("__sought")).filter(F.size("__sought") > 0)
     rows = state.groupBy("__bucket", *groups, "value").agg(F.sum("n").alias("n")).withColumn("__group", group)
     running = rows.withColumn("__run", F.sum("n").over(Window.partitionBy("__bucket", "__group").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    done = join_dictionary(running, totals, ["__bucket", "__group"]).withColumn("__upto", F.col("__before") + F.col("__run"))
-    hits = F.filter(ranks(F.col("__n")), lambda t: (t["rank"] <= F.col("__upto")) & (t["rank"] > F.col("__upto") - F.col("n")))
+    done = join_dictionary(running, sought, ["__bucket", "__group"])
+    hits = F.filter("__sought", lambda t: (t["rank"] <= F.col("__run")) & (t["rank"] > F.col("__run") - F.col("n")))
     return done.select(*groups, "value", F.col("__n").alias("__total"), F.explode(hits).alias("t")).select(*groups, F.col("t.target").alias("target"), "value", F.col("__total").alias("n"))
 
 

@@ -63,7 +63,8 @@ def registry():
 
 QUERIES, SQL, query = registry()
 ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
-MIN_YEARS = 5
+# Years of a series; readings in each of them; readings in each season, and years of a season's slope.
+MIN_YEARS, MIN_READINGS, SEASON_READINGS, SEASON_YEARS = 10, 4, 8, 10
 
 _NUM = lambda c: f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
 _RANK = "CASE source WHEN 'USGS_SAMPLES' THEN 0 WHEN 'EPA_WQP' THEN 1 WHEN 'ECCC' THEN 2 WHEN 'ON_PWQMN' THEN 3 WHEN 'BC_EMS' THEN 4 ELSE 9 END"
@@ -242,10 +243,10 @@ def annual_means(spark, d):
     return annual(spark, d).select("station_id", "ion", "year", R("value").alias("value"), "n_obs_year")
 
 
-@query(f"""{WITH}, k AS (SELECT station_id, ion FROM (SELECT station_id, ion, year FROM obs GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL HAVING count(*) >= {MIN_YEARS})
+@query(f"""{WITH}, k AS (SELECT station_id, ion FROM (SELECT station_id, ion, year FROM obs GROUP BY ALL HAVING count(*) >= {MIN_READINGS}) GROUP BY ALL HAVING count(*) >= {MIN_YEARS})
 SELECT rec_id FROM obs SEMI JOIN k USING (station_id, ion)""")
 def quality_filter(spark, d):
-    return harmonize.quality_filter(obs(spark, d), MIN_YEARS, 2).select("rec_id")
+    return harmonize.quality_filter(obs(spark, d), MIN_YEARS, MIN_READINGS).select("rec_id")
 
 
 _FIRST = ", ".join(f"arg_min({c}, (ts, rec_id)) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("latitude", "longitude", "source", "country", "state_prov", "site_type"))
@@ -363,13 +364,13 @@ def management_scenarios(spark, d):
 
 # ---- stations ------------------------------------------------------------------------------------------------------
 
-_SEASON = """sea AS (SELECT station_id, avg(value) FILTER (WHERE month IN (12, 1, 2)) AS winter_mean, count(*) FILTER (WHERE month IN (12, 1, 2)) AS winter_n,
+_SEASON = f"""sea AS (SELECT station_id, avg(value) FILTER (WHERE month IN (12, 1, 2)) AS winter_mean, count(*) FILTER (WHERE month IN (12, 1, 2)) AS winter_n,
  avg(value) FILTER (WHERE month IN (6, 7, 8)) AS summer_mean, count(*) FILTER (WHERE month IN (6, 7, 8)) AS summer_n FROM obs WHERE ion = 'cl' GROUP BY station_id
- HAVING winter_n >= 2 AND summer_n >= 2), ws AS (SELECT *, winter_mean / greatest(summer_mean, 0.1) AS ws_ratio FROM sea)"""
+ HAVING winter_n >= {SEASON_READINGS} AND summer_n >= {SEASON_READINGS}), ws AS (SELECT *, winter_mean / greatest(summer_mean, 0.1) AS ws_ratio FROM sea)"""
 
 
 def _ws(spark, d):
-    return stations.seasonal_means(obs(spark, d).filter("ion = 'cl'"), 2)
+    return stations.seasonal_means(obs(spark, d).filter("ion = 'cl'"), SEASON_READINGS)
 
 
 @query(f"{WITH}, {_SEASON} SELECT station_id, round(winter_mean, 6) AS winter_mean, winter_n, round(summer_mean, 6) AS summer_mean, summer_n, round(ws_ratio, 6) AS ws_ratio FROM ws")
@@ -378,12 +379,12 @@ def seasonal_ratio(spark, d):
 
 
 @query(f"""{WITH}, m AS (SELECT station_id, CASE WHEN month IN (12, 1, 2) THEN 'winter' ELSE 'summer' END AS season, year, avg(value) AS v FROM obs WHERE ion = 'cl' AND month IN (12, 1, 2, 6, 7, 8) GROUP BY ALL),
-k AS (SELECT station_id, season FROM m GROUP BY ALL HAVING count(*) >= 3),
+k AS (SELECT station_id, season FROM m GROUP BY ALL HAVING count(*) >= {SEASON_YEARS}),
 s AS (SELECT a.station_id, a.season, median((ln(1 + b.v) - ln(1 + a.v)) / (b.year - a.year)) AS slope FROM m a JOIN m b ON a.station_id = b.station_id AND a.season = b.season AND a.year < b.year
       SEMI JOIN k ON a.station_id = k.station_id AND a.season = k.season GROUP BY ALL)
 SELECT station_id, round(max(slope) FILTER (WHERE season = 'winter'), 6) AS winter_slope, round(max(slope) FILTER (WHERE season = 'summer'), 6) AS summer_slope FROM s GROUP BY station_id""")
 def seasonal_slopes(spark, d):
-    return stations.seasonal_slopes(obs(spark, d).filter("ion = 'cl'"), 3).select("station_id", R("winter_slope").alias("winter_slope"), R("summer_slope").alias("summer_slope"))
+    return stations.seasonal_slopes(obs(spark, d).filter("ion = 'cl'"), SEASON_YEARS).select("station_id", R("winter_slope").alias("winter_slope"), R("summer_slope").alias("summer_slope"))
 
 
 @query(f"""{WITH}, {_SEASON}, {_PLACES}, j AS (SELECT ceil((lat - 25) / 3)::INT AS band, ws_ratio FROM ws JOIN places ON station_id = id WHERE lat > 25 AND lat <= 61 AND ws_ratio > 0.2 AND ws_ratio < 6)
