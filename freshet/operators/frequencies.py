@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from freshet.session import join_dictionary, reliable_checkpoint
 
 #: Rows of the state in one bucket, and buckets at most; beyond that buckets grow, and their sort spills.
-BUCKET_ROWS, MOST_BUCKETS = 200_000, 20_000
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 20_000
 
 
 def value_counts(df: DataFrame, groups: list[str], value: Column) -> DataFrame:
@@ -53,7 +53,7 @@ def bucketed(counts: DataFrame, groups: list[str], bounds: list[float] | None =
     """
     bounds = bucket_bounds(counts) if bounds is None else bounds
     keyed = counts.select(*groups, "value", "n", bucket_of(bounds).alias("__bucket"))
-    return reliable_checkpoint(keyed.repartition("__bucket"))
+    return reliable_checkpoint(keyed.repartition(2 * len(bounds) + 1, "__bucket"), keep_layout=True)
 
 
 def ranked(state: DataFrame, groups: list[str], ranks: Callable[[Column], Column]) -> DataFrame:

@@ -34,9 +34,11 @@ def build_session(app: str = "freshet", cores: int | None = None, shuffle_partit
     return b.getOrCreate()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
+def reliable_checkpoint(df: DataFrame, keep_layout: bool = False) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, lineage cut.
 
+    With ``keep_layout`` the plan that reads it back still knows how the rows are partitioned, so that what groups by the same
+    columns needs no further shuffle. An adaptive plan would forget it, so this one is planned without.
     The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local master gets a folder of its own; on a
     cluster, where no machine's own folder would do, it is an error.
     """
@@ -47,7 +49,14 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
         if not where and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir names no shared folder for intermediate results")
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "freshet-checkpoints"))
-    return df.checkpoint(eager=True)
+    if not keep_layout:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def join_dictionary(rows: DataFrame, dictionary: DataFrame, on: Column | list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
