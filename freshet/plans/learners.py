@@ -194,7 +194,7 @@ def typology(spark, d) -> tuple[DataFrame, list[str]]:
 
 
 _FIVE = ("cl", "na", "ca", "mg", "so4")
-_CLIP = lambda a, b, most: f"CASE WHEN {b} = 0 AND {a} > 0 THEN {most} WHEN {b} = 0 THEN NULL ELSE least(greatest({a} / {b}, 0.0), {most}) END"
+_CLIP = lambda a, b, most: f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {b} = 0 AND {a} > 0 THEN {most} WHEN {b} = 0 THEN NULL ELSE least(greatest({a} / {b}, 0.0), {most}) END"
 
 
 @query(f"""{WITH}, {_TREND}, w AS (SELECT station_id, {', '.join(f"max(base_level) FILTER (WHERE ion = '{k}') AS {k}" for k in _FIVE)}, max(slope_log_yr) FILTER (WHERE ion = 'cl') AS slope_cl, max(slope_log_yr) FILTER (WHERE ion = 'so4') AS slope_so4 FROM tr GROUP BY station_id),

@@ -100,23 +100,33 @@ def stamped(spark: SparkSession, d: str, fill: bool = False, status: bool = Fals
     return h.filter(F.col("ts").isNotNull()).select(*h.columns, *also).unionByName(other.select(*h.columns, *more))
 
 
-_BASES: dict[tuple, DataFrame] = {}
-#: Bases that are kept for later queries of a session.
-MOST_BASES = 4
+_WRITTEN: dict[tuple, DataFrame] = {}
+#: Frames that are kept for later queries of a session.
+MOST_WRITTEN = 8
+
+
+def written(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, written once per session and state of the files it comes from, as a master record is made once and read by every analysis."""
+    key = (name, spark.sparkContext.applicationId, d, spark.conf.get("spark.sql.session.timeZone"), *[x for t in ("harmonize", "zone_ref", "ion_ref") for x in file_state(spark, f"{d}/{t}.parquet")])
+    if key not in _WRITTEN:
+        while len(_WRITTEN) >= MOST_WRITTEN:
+            _WRITTEN.pop(next(iter(_WRITTEN)))
+        _WRITTEN[key] = reliable_checkpoint(make())
+    return _WRITTEN[key]
+
+
+def record(spark: SparkSession, d: str) -> DataFrame:
+    """The whole long record, converted and stamped, with ``ts_status``; written once (see ``written``)."""
+    return written(spark, d, "record", lambda: stamped(spark, d, fill=True, status=True))
 
 
 def obs(spark: SparkSession, d: str) -> DataFrame:
-    """The common base, written once per session and state of its files: like the master record it is made once and read by every analysis."""
-    key = (spark.sparkContext.applicationId, d, spark.conf.get("spark.sql.session.timeZone"), *[x for t in ("harmonize", "zone_ref", "ion_ref") for x in file_state(spark, f"{d}/{t}.parquet")])
-    if key not in _BASES:
-        while len(_BASES) >= MOST_BASES:
-            _BASES.pop(next(iter(_BASES)))
-        _BASES[key] = reliable_checkpoint(make_obs(spark, d))
-    return _BASES[key]
+    """The common base; written once (see ``written``)."""
+    return written(spark, d, "obs", lambda: make_obs(spark, d))
 
 
 def make_obs(spark: SparkSession, d: str) -> DataFrame:
-    h = stamped(spark, d, fill=True).filter(F.col("ion").isNotNull() & (F.col("value_mg_L") > 0) & F.col("ts").isNotNull() & F.col("station_id").isNotNull())
+    h = record(spark, d).filter(F.col("ion").isNotNull() & (F.col("value_mg_L") > 0) & F.col("ts").isNotNull() & F.col("station_id").isNotNull())
     # Copies and redelivered readings share visit and value, though not always the instant, which some deliver by date alone; other readings of the visit stay.
     h = h.withColumn("__visit", F.coalesce(F.col("visit_no").cast("string"), F.col("ts").cast("string"))).withColumn("__same", F.round("value_mg_L", 6))
     h = harmonize.dedup_preference(h, ("station_id", "__visit", "ion", "__same"), ("value_mg_L", "rec_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from freshet.functions import scalars as S
 from freshet.operators import harmonize, stations
 from freshet.plans.data_problems import FIELDS_SQL
-from freshet.plans.measurement import _BELOW, _H, _HAV, _ION, _NN, _P, _PLACES, _PROJ, _RANK, _RATIOS, _TREND, RECURSIVE, WITH, R, base_sql, obs, places, registry, stamped, trends
+from freshet.plans.measurement import _BELOW, _H, _HAV, _ION, _NN, _P, _PLACES, _PROJ, _RANK, _RATIOS, _TREND, RECURSIVE, WITH, R, base_sql, obs, places, record, registry, trends
 from freshet.session import reliable_checkpoint
 from freshet.sources import records, standardize
 from freshet.sources.tables import nan_to_null, table
@@ -28,7 +28,7 @@ q AS (SELECT d.* FROM d SEMI JOIN k USING (station_id, ion))"""
 
 def master(spark, d) -> DataFrame:
     """The long record through all stages: units, censoring, domain, preferred source, quality (ten years of four readings)."""
-    h = harmonize.handle_below_detection(stamped(spark, d, fill=True), "half_dl")
+    h = harmonize.handle_below_detection(record(spark, d), "half_dl")
     rows = harmonize.dedup_preference(harmonize.domain_filter(h, "ts"), ties=("value_mg_L", "rec_id"))
     return harmonize.quality_filter(rows.withColumn("year", F.year("ts")), 10, 4)
 
@@ -54,7 +54,7 @@ def pipeline_report(spark, d):
   WHEN o.rec_id IS NULL THEN 'copy' ELSE 'kept' END AS outcome FROM filled f LEFT JOIN (SELECT rec_id FROM obs) o ON f.rec_id = o.rec_id) SELECT outcome, count(*) AS n FROM why GROUP BY outcome""")
 def base_outcomes(spark, d):
     """What becomes of every record on its way into the common base: kept, or the first reason why not."""
-    h = stamped(spark, d, fill=True, status=True)
+    h = record(spark, d)
     kept = obs(spark, d).select(F.col("rec_id").alias("kept_id"))
     why = F.when(F.col("ion").isNull(), "no ion").when(F.col("station_id").isNull(), "no station").when(F.col("datetime").isNull(), "no stamp").when(F.col("ts").isNull(), F.concat(F.lit("stamp "), "ts_status"))
     why = why.when(F.col("value_mg_L").isNull(), "no value").when(~(F.col("value_mg_L") > 0), "value not positive").when(F.col("kept_id").isNull(), "copy").otherwise("kept")
