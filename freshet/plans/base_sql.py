@@ -75,7 +75,7 @@ SPELLINGS: tuple[tuple[str, float, str], ...] = (
     ("charge", 1000.0, "meq/l; meq l-1; me/l; milliequivalent per liter; milliequivalents per liter; milliequivalents per litre"),
     ("charge", 1.0, "ueq/l; ueq l-1; microeq/l; microequivalents per liter; microequivalents per litre"),
     ("molar", 1000.0, "mmol/l; mmol l-1; mmole/l; mm; millimole per liter; millimoles per liter; millimoles per litre; mol/m3; mol/m^3; mol m-3"),
-    ("molar", 1.0, "umol/l; umol l-1; um; micromoles per liter; micromoles per litre"),
+    ("molar", 1.0, "umol/l; umol l-1; um; micromol/l; micromoles per liter; micromoles per litre"),
     ("molar", 1000000.0, "mol/l; mol l-1; moles per liter; moles per litre"),
 )
 _LIST = ", ".join(f"('{t.strip()}', '{basis}', {factor!r}::DOUBLE)" for basis, factor, line in SPELLINGS for t in line.split(";"))
