@@ -1,6 +1,7 @@
 """Models over the station tables: spatially blocked validation, attribution, regimes.
 
-Trees are those of ``boosting``: fitted on a bounded sample of rows, validated, attributed and applied over all rows.
+Trees are those of ``boosting``: validated models are fitted on all rows outside a fold, others on a bounded sample; all are
+validated, attributed and applied over all rows.
 Regimes are pyspark.ml k-means; only cluster centres reach the driver, and a bounded sample for the silhouette.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.scalars import block_id
-from freshet.operators.boosting import Ensemble, Settings, predicted_apart
+from freshet.operators.boosting import Case, Ensemble, Settings, predicted_apart
 from freshet.operators.stations import group_folds
 from freshet.session import join_dictionary, reliable_checkpoint
 
@@ -44,17 +45,12 @@ def spatial_cv(df: DataFrame, label: str, numeric: list[str], categorical: list[
 
     Null where there are fewer than two folds.
     """
-    return folds_cv(labelled_folds(df, label, folds, lat, lon), label, numeric, categorical, settings)
+    return predicted_apart(labelled_folds(df, label, folds, lat, lon), label, {"guess": Case(numeric, categorical, settings)}, "fold")
 
 
 def labelled_folds(df: DataFrame, label: str, folds: int = 5, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """The labelled rows of ``df`` with their spatial ``fold``; written once, for any number of models."""
-    return reliable_checkpoint(spatial_folds(df.filter(F.col(label).isNotNull()), folds, lat, lon))
-
-
-def folds_cv(rows: DataFrame, label: str, numeric: list[str], categorical: list[str], settings: Settings) -> DataFrame:
-    """``spatial_cv`` of rows that have their ``fold``."""
-    return predicted_apart(rows, label, numeric, categorical, settings, "fold")
+    """The labelled rows of ``df`` with their spatial ``fold``."""
+    return spatial_folds(df.filter(F.col(label).isNotNull()), folds, lat, lon)
 
 
 # ---- TreeSHAP ------------------------------------------------------------------------------------------------------

@@ -63,11 +63,9 @@ def forest_robustness(spark, d):
     """Out-of-fold R2 of boosted trees with all covariates, of a random forest, and of boosted trees with either buffer only."""
     df, names = level_table(spark, d)
     cases = (("boosted_both", "", boosting.ROBUST), ("forest_both", "", boosting.FOREST), ("boosted_500m_only", "_5km", boosting.ROBUST), ("boosted_5km_only", "_500m", boosting.ROBUST))
-    rows, out = models.labelled_folds(df, "log_level"), []
-    for label, without, settings in cases:
-        keep = [c for c in names if not (without and c.endswith(without))]
-        out.append(series.error_measures(models.folds_cv(rows, "log_level", keep, ["ion"], settings), "log_level", "guess").withColumn("model", F.lit(label)))
-    return harmonize.union_sources(*out)
+    chosen = {label: boosting.Case([c for c in names if not (without and c.endswith(without))], ["ion"], settings) for label, without, settings in cases}
+    out = boosting.predicted_apart(models.labelled_folds(df, "log_level"), "log_level", chosen, "fold")
+    return harmonize.union_sources(*[series.error_measures(out, "log_level", label).withColumn("model", F.lit(label)) for label in chosen])
 
 
 # Labels of the drivers.
